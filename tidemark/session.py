@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,22 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(found, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context: functions that run
+    there are found by import, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*")):
+            if f.is_file() and "__pycache__" not in f.parts:
+                out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

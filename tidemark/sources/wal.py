@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.session import ship_package
+
 SCHEMA = "file string, seq bigint, key binary, kind tinyint, value binary"
 
 
@@ -62,6 +64,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     One file is one task's work: the format has no split points.  A folder
     without log files gives no rows.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def parse(batches):

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from tidemark.operators.state import latest, latest_state
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, ship_package
 
 
 def _sink(folder: str) -> Callable[[DataFrame, int], None]:
@@ -72,6 +72,7 @@ class KeyedApply(StatefulProcessor):
 
 def keyed_apply_stream(stream: DataFrame, folder: str, checkpoint: str, reduce: Callable | None = None) -> None:
     """``apply_stream`` through a stateful processor, for custom reducers."""
+    ship_package(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = stream.groupBy("key").transformWithStateInPandas(KeyedApply(reduce), "key string, seq bigint, kind int, value double", "Update", "None")
     out.writeStream.outputMode("update").foreachBatch(_sink(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
