@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitpack, lattice, minhash, piece, quality
+from tidemark.llm import bitpack, html_text, lattice, licenses, linededup, minhash, mixing, piece, quality, secrets
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -20,29 +20,50 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     base = (led["bits"].bitwiseAND(quality.BASE) != 0).alias("base_failed")
     return led.select("doc_id", *quality.MEASURES[:5], base, "kept", "bits")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(WORD_TOKENIZER), end_id=2)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(PIECE_MODEL))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_bit_packing, op6_sentencepiece, op8_minhash_near_dedup, op10_lattice_near_dedup)
-}
+    f.__name__: f
+    for f in (op1_html_text, op2_quality_rules, op3_secret_scan, op4_bit_packing, op5_source_mixing, op6_sentencepiece, op7_line_dedup, op8_minhash_near_dedup, op9_license_scan, op10_lattice_near_dedup)
+}
 ORACLES: dict[str, str] = {}
