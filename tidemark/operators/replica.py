@@ -208,7 +208,7 @@ def reachable(traffic: DataFrame, down: DataFrame) -> DataFrame:
     """Messages whose two ends are up; ``down`` lists the nodes that are not."""
     src = down.select(F.col("node").alias("src"))
     dst = down.select(F.col("node").alias("dst"))
-    return traffic.join(src, "src", "left_anti").join(dst, "dst", "left_anti")
+    return traffic.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*traffic.columns)
 
 
 def to_apply(log: DataFrame, applied: int, commit: int, snapshot_idx: int = 0) -> DataFrame:
