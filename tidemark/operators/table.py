@@ -1,7 +1,7 @@
 """A durable versioned table: Parquet log and runs behind one pointer file.
 
-Folder layout: ``log/b=<n>`` appended mutations, ``runs/v=<n>`` immutable run
-sets, ``_CURRENT`` the pointer (run version, next run number, log low-water
+Folder layout: ``log/b-<n>`` appended mutations, ``runs/v-<n>`` immutable run
+sets, ``CURRENT`` the pointer (run version, next run number, log low-water
 mark).  A change writes new files first and then swaps the pointer by one
 rename; files are deleted only afterwards, so a crash at any step leaves the
 old or the new state, never a mixture.
@@ -52,15 +52,15 @@ class VersionedTable:
 
     # -- pointer ---------------------------------------------------------
     def _load(self) -> Pointer:
-        fs, path = hadoop_path(self.spark, f"{self.root}/_CURRENT")
+        fs, path = hadoop_path(self.spark, f"{self.root}/CURRENT")
         if not fs.exists(path):
             return Pointer()
-        text = self.spark.read.text(f"{self.root}/_CURRENT").first()[0]
+        text = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
         return Pointer(**json.loads(text))
 
     def _swap(self, to: Pointer) -> None:
         jvm = self.spark.sparkContext._jvm
-        fs, path = hadoop_path(self.spark, f"{self.root}/_CURRENT")
+        fs, path = hadoop_path(self.spark, f"{self.root}/CURRENT")
         temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_tmp.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(asdict(to)).encode()))
@@ -78,12 +78,12 @@ class VersionedTable:
         if not fs.exists(found):
             return self.spark.createDataFrame([], schema)
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
-        return self._read(f"{self.root}/runs/v={self.at.version}", RUN)
+        return self._read(f"{self.root}/runs/v-{self.at.version}", RUN)
 
     def tail(self) -> DataFrame:
         """Mutations that no run holds yet."""
@@ -117,7 +117,7 @@ class VersionedTable:
         moved = state.require_order(mutations).select(
             (F.col("seq") + base).cast("bigint").alias("seq"), F.col("key").cast("binary").alias("key"), F.col("kind").cast("tinyint").alias("kind"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value")
         )
-        path = f"{self.root}/log/b={base:020d}"
+        path = f"{self.root}/log/b-{base:020d}"
         moved.write.mode("overwrite").parquet(path)
         top = self.spark.read.schema(LOG).parquet(path).agg(F.max("seq")).head()[0]
         if top is None:
@@ -138,7 +138,7 @@ class VersionedTable:
 
     def _write_runs(self, runs: DataFrame, to: Pointer) -> None:
         """Runs lie sorted by key with a bloom filter, so lookups prune files."""
-        (runs.repartitionByRange("run_seq", "key").sortWithinPartitions("run_seq", "key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/runs/v={to.version}"))
+        (runs.repartitionByRange("run_seq", "key").sortWithinPartitions("run_seq", "key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/runs/v-{to.version}"))
         self._swap(to)
 
     def flush(self) -> None:
@@ -167,5 +167,5 @@ class VersionedTable:
         fs, folder = hadoop_path(self.spark, f"{self.root}/runs")
         if fs.exists(folder):
             for status in fs.listStatus(folder):
-                if status.getPath().getName() != f"v={self.at.version}":
+                if status.getPath().getName() != f"v-{self.at.version}":
                     fs.delete(status.getPath(), True)
