@@ -58,11 +58,12 @@ class Bounded(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        found = [w for w in wanted if w not in self]
+        found = wanted.difference(self)
         if self.old:
-            self.update((w, self.old[w]) for w in found if w in self.old)
-            found = [w for w in found if w not in self]
-        return found
+            held = found.intersection(self.old)
+            self.update(zip(held, map(self.old.__getitem__, held), strict=True))
+            found -= held
+        return list(found)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -87,32 +88,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", label: str = "component") -> DataFrame:
     """Smallest node id reachable from each node: (node, component).
 
-    ``edges`` has columns a, b.  Rounds of large-star and small-star keep the
-    edge count bounded by its start and halve the depth; every round is
-    written to the shared folder, and only one flag comes to the driver.
-    A hub is the smallest node of its star, so it is the minimum that is
-    grouped by, and groups aggregate to one row map-side.
+    ``edges`` has columns a, b.  Rounds of large-star and small-star turn the
+    edges into stars around each component's smallest node.  The number of
+    edges never grows, every half round is written to the shared folder, and
+    one row comes to the driver.  Minima are taken by partial aggregates, and
+    the edges of a hub are joined with one row, so a large star is no group
+    in anyone's memory.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    # parent pointers: every node starts at its smallest neighbour
-    parent = materialise(pairs.groupBy("a").agg(F.min("b").alias("p")), "cc")
-    links = materialise(pairs, "cc")
+    links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
+    seen = None
     while True:
-        # follow pointers: links between the parents of their ends
-        up = parent.select(F.col("a").alias("_n"), "p")
-        moved = (
-            links.join(up, links.a == up._n, "left").select(F.coalesce("p", "a").alias("x"), "b")
-            .join(up, F.col("b") == up._n, "left").select("x", F.coalesce("p", "b").alias("y"))
-            .where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        )
-        links = materialise(moved, "cc")
-        hooked = links.groupBy("a").agg(F.min("b").alias("h"))
-        # hook roots and old pointers, then jump once
-        joined = parent.join(hooked, "a", "full").select("a", F.least("p", "h").alias("p"))
-        above = joined.select(F.col("a").alias("_m"), F.col("p").alias("_q"))
-        parent = materialise(joined.join(above, joined.p == above._m, "left").select("a", F.coalesce("_q", "p").alias("p"), F.col("_q").isNotNull().alias("_moved")), "cc")
-        if links.isEmpty() and parent.where("_moved").isEmpty():
+        # large star: larger neighbours of u go to the smallest neighbour of u
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("_m")), "cc")
+        links = materialise(links.join(least, links.b == least._u).select("a", F.col("_m").alias("b")).distinct(), "cc")
+        # small star: u and its smaller neighbours go to the smallest of them
+        least = materialise(links.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), "_m"), "cc")
+        moved = links.join(least, links.a == least._u).where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        links = materialise(moved.unionByName(least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))).distinct(), "cc")
+        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).head())
+        if now == seen or not now[0]:
             break
-        parent = parent.drop("_moved")
-    found = parent.select(F.col("a").alias(node), F.col("p").alias("_c"))
-    return nodes.select(node).join(found, node, "left").select(node, F.coalesce("_c", node).alias(label))
+        seen = now
+    found = links.select(F.col("a").alias("_n"), F.col("b").alias("_c"))
+    return nodes.select(node).join(found, F.col(node) == F.col("_n"), "left").select(node, F.coalesce("_c", node).alias(label))

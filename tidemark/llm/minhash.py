@@ -35,7 +35,6 @@ CHUNK = 1 << 14
 SIGNATURE = ROWS * BANDS
 FILTER_BITS = 1 << 24
 GROUP = 1 << 19
-STAR_ROUNDS = 3
 
 
 # -- texts to shingles ---------------------------------------------------------
@@ -212,7 +211,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, mean_idf, bands of every text that has words."""
+    """doc_id, mean_idf, size, bands of every text that has words."""
 
     def run(batches):
         table = levels.value
@@ -226,12 +225,13 @@ def sketch(docs: DataFrame, levels) -> DataFrame:
                 w = count * (g := idf(h, table))
                 keys = band_keys(signatures(h, np.log(w), starts))
                 mean = np.add.reduceat(g, starts) / np.diff(np.r_[starts, len(h)])
+                size = np.add.reduceat(w, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(low + owner[starts])), pa.array(mean, pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
-                    ["doc_id", "mean_idf", "bands"],
+                    [ids.take(pa.array(low + owner[starts])), pa.array(mean, pa.float64()), pa.array(size, pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
+                    ["doc_id", "mean_idf", "size", "bands"],
                 )
 
-    return map_arrow(docs, run, "doc_id bigint, mean_idf double, bands array<bigint>")
+    return map_arrow(docs, run, "doc_id bigint, mean_idf double, size double, bands array<bigint>")
 
 
 # -- verification -----------------------------------------------------------------
@@ -249,7 +249,7 @@ def weighted_jaccard(a: str, b: str, table: np.ndarray) -> float:
 def member_filter(spark, ids: DataFrame) -> bytes:
     """A bitmap of 2 MB that holds the hash of every id: it never misses one,
     and its size does not depend on their number."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # the functions count from 1
     bits = ids.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
     out = bytearray(FILTER_BITS // 8)
     for k, b in bits.collect():
@@ -288,38 +288,69 @@ def verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     return map_arrow(joined, run, "a bigint, b bigint")
 
 
+def novelty(texts: DataFrame, levels) -> DataFrame:
+    """id, novel: the weight of each text's shingles that no other of these
+    texts has.  Counted map-side first; shingles meet by hash."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for low, part in groups(batch.column("text").to_pylist(), GROUP):
+                h, owner, count = counted(*shingles(part))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low + owner]), pa.array(h.view(np.int64)), pa.array(count * idf(h, levels.value))], ["id", "h", "w"])
+
+    rows = map_arrow(texts, run, "id bigint, h bigint, w double")
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
+    return alone.groupBy("id").agg(F.sum("w").alias("novel"))
+
+
+def stray_pairs(rest: DataFrame, everyone: DataFrame) -> DataFrame:
+    """Pairs of different components of a bucket that can still be links.
+
+    Novel shingles lie in no common part, so the common part of x and y weighs
+    at most ``min(|x| - novel(x), |y| - novel(y))``; a link needs
+    ``common * (1 + t) >= t * (|x| + |y|)``.  A text that differs from its
+    hub by too much of its own therefore links with nothing, and for the
+    others the weight of a partner is bounded on both sides: partners are
+    looked up by bucket and weight class, one percent wide.  Nothing that
+    could be a link is left out.
+    """
+    t, step = THRESHOLD, math.log(1.01)
+    slot = lambda x: F.floor(F.log(x) / step).cast("int")
+    most = (F.col("size") - F.col("novel")) * ((1 + t) / t) - F.col("size")
+    able = rest.withColumn("_most", most * (1 + 1e-9)).where(F.col("_most") >= t * F.col("size"))
+    probes = able.select("band", F.col("id").alias("s"), F.col("component").alias("_s"), F.col("size").alias("_z"), F.col("novel").alias("_n"), F.explode(F.sequence(slot(t * F.col("size")) - 1, slot(F.col("_most")) + 1)).alias("slot"))
+    partners = everyone.select("band", "id", "component", "size", "novel", slot(F.col("size")).alias("slot"))
+    fits = F.least(F.col("size") - F.col("novel"), F.col("_z") - F.col("_n")) * (1 + t) * (1 + 1e-9) >= t * (F.col("size") + F.col("_z"))
+    joined = probes.join(partners, (probes.band == partners.band) & (probes.slot == partners.slot) & (F.col("component") != F.col("_s")) & fits)
+    return joined.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
+
+
 def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFrame:
     """(a, b) verified links that connect every component of the candidate
-    graph: members has id, mean_idf, band (a bucket's key).
+    graph: members has id, mean_idf, size (weight), band (a bucket's key).
 
     In every bucket all members are compared with its hub, the member with
     the commonest shingles.  Members that are not connected with their hub
-    then elect a hub among themselves; after STAR_ROUNDS the few pairs left
-    between different components of one bucket are all compared.
+    are then compared with all others of the bucket that they can still be
+    linked with.
     """
-    ids = members.select("id").distinct()
+    ids = materialise(members.select("id").distinct(), "ids")
     texts = texts_of(texts_from, ids)
-    rest, links, known = members, None, None
-    for _ in range(STAR_ROUNDS):
-        hubs = materialise(rest.groupBy("band").agg(F.min(F.struct("mean_idf", "id")).alias("h")).select("band", F.col("h.id").alias("hub")), "hubs")
-        placed = materialise(rest.join(hubs, "band"), "placed")
-        pairs = placed.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if pairs.isEmpty():
-            break
-        found = verify(pairs, texts, levels)
-        links = materialise(found if links is None else links.unionByName(found).distinct(), "links")
-        known = materialise(components(ids, links), "parts")
-        own = placed.join(known, "id")
-        other = known.select(F.col("id").alias("hub"), F.col("component").alias("_h"))
-        rest = materialise(own.join(other, "hub").where("component <> _h").select("id", "mean_idf", "band"), "rest")
-        if rest.isEmpty():
-            return links
-    if known is None:
-        return texts.sparkSession.createDataFrame([], "a bigint, b bigint")
-    # strays against every member of their buckets that is not connected yet
-    stray = rest.join(known, "id").select("band", F.col("id").alias("s"), F.col("component").alias("_s"))
-    everyone = members.join(known, "id").select("band", "id", "component")
-    pairs = stray.join(everyone, "band").where("component <> _s").select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
+    hubs = materialise(members.groupBy("band").agg(F.min(F.struct("mean_idf", "id")).alias("h")).select("band", F.col("h.id").alias("hub")), "hubs")
+    placed = materialise(members.join(hubs, "band"), "placed")
+    pairs = placed.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = materialise(verify(pairs, texts, levels), "links")
+    known = materialise(components(ids, links), "parts")
+    other = known.select(F.col("id").alias("hub"), F.col("component").alias("_h"))
+    own = materialise(placed.join(known, "id").join(other, "hub").select("band", "id", "size", "component", "_h"), "own")
+    open_ = materialise(own.where("component <> _h").select("band").distinct(), "open")
+    if open_.isEmpty():
+        return links
+    around = materialise(own.join(open_, "band"), "around")
+    novel = novelty(texts.join(around.select("id").distinct(), "id", "left_semi"), levels)
+    around = materialise(around.join(novel, "id", "left").withColumn("novel", F.coalesce("novel", F.lit(0.0))), "around")
+    pairs = materialise(stray_pairs(around.where("component <> _h"), around), "stray-pairs")
     return materialise(links.unionByName(verify(pairs, texts, levels)).distinct(), "links")
 
 
@@ -339,8 +370,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
     levels = spark.sparkContext.broadcast(idf_levels(first, keys.count()))
     reps = classes.select(F.col("class_id").alias("doc_id"))
-    sketches = sketch(docs, levels).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "mean_idf", "bands")
-    exploded = materialise(sketches.select("id", "mean_idf", F.explode("bands").alias("band")), "bands")
+    sketches = sketch(docs, levels).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "mean_idf", "size", "bands")
+    exploded = materialise(sketches.select("id", "mean_idf", "size", F.explode("bands").alias("band")), "bands")
     crowded = materialise(exploded.groupBy("band").agg(F.min("id").alias("_l"), F.max("id").alias("_u")).where("_l < _u").select("band"), "crowded")
     members = materialise(exploded.join(crowded, "band").distinct(), "members")
     links = candidate_links(members, docs, levels)
