@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitpack, html_text, lattice, licenses, linededup, minhash, mixing, piece, quality, secrets
+from tidemark.llm import bitpack, html_text, lattice, licenses, linededup, minhash, mixing, oracles, piece, quality, secrets
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_quality_rules, op3_secret_scan, op4_bit_packing, op5_source_mixing, op6_sentencepiece, op7_line_dedup, op8_minhash_near_dedup, op9_license_scan, op10_lattice_near_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
