@@ -14,16 +14,17 @@ def plain_weights(texts):
     """Per text its {shingle: weight}, by plain Python over hashed shingles."""
     tf = []
     for t in texts:
-        h, _ = minhash.shingles([t])
-        tf.append(Counter(h.tolist()))
+        words = t.lower().split()
+        windows = Counter(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+        tf.append({int(minhash.shingles([w])[0][0]): c for w, c in windows.items()})
     slots = np.zeros(1 << minhash.DF_BITS, np.int64)
     for c in tf:
         for h in c:
-            slots[h >> (64 - minhash.DF_BITS)] += 1
+            slots[h >> (minhash.HASH_BITS - minhash.DF_BITS)] += 1
     n, total, m = len(texts), int(slots.sum()), 1 << minhash.DF_BITS
 
     def level(h):
-        c = slots[h >> (64 - minhash.DF_BITS)]
+        c = slots[h >> (minhash.HASH_BITS - minhash.DF_BITS)]
         df = min(max(c - (total - c) / (m - 1), 1), max(1, n))
         return float(np.clip(np.rint(255 * (1 - math.log(df) / math.log(max(2, n)))), 0, 255))
 
