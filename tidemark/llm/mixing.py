@@ -129,9 +129,9 @@ def with_block(docs: DataFrame, seed: int = 0, blocks: int = BLOCKS) -> DataFram
     return docs.withColumn("_source", source).withColumn("_block", at).withColumn("_tokens", n_tokens(F.col("text").cast("string")))
 
 
-def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` as often as their blocks are planned, with columns
-    epoch, rank, weight beside ``keep`` (all columns if None).
+def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[str] | None = None, facts: bool = True) -> DataFrame:
+    """Rows of ``docs`` as often as their blocks are planned: columns ``keep``
+    (all if None) and, with ``facts``, mix_tokens, epoch, rank and weight.
 
     Documents without tokens carry no weight; they go with their block.  A
     source without any token has no budget and goes out once, unchanged.
@@ -147,10 +147,13 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[st
     table = materialise(per_block.unionByName(free), "mix-table")
     keep = keep if keep is not None else docs.columns
     carried = with_block(docs, seed).select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)), "_source", "_block", "_tokens")
-    table = table.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_e", "weight")
+    table = table.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_e", F.col("weight").alias("_weight"))
     joined = carried.join(table, ["_source", "_block"])
-    out = joined.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)), F.col("_tokens").alias("_n_tokens"), "weight", F.explode("_e").alias("_x"))
-    return out.select(*keep, F.col("_n_tokens").alias("mix_tokens"), F.col("_x.epoch").alias("epoch"), F.col("_x.rank").alias("rank"), "weight")
+    rows = joined.select(*(f"_c{i}" for i in range(len(keep))), "_tokens", "_weight", F.explode("_e").alias("_x"))
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)]
+    if not facts:
+        return rows.select(*kept)
+    return rows.select(*kept, F.col("_tokens").alias("mix_tokens"), F.col("_x.epoch").alias("epoch"), F.col("_x.rank").alias("rank"), F.col("_weight").alias("weight"))
 
 
 def report(docs: DataFrame) -> DataFrame:
