@@ -9,9 +9,13 @@ Each id takes ``bits`` bits, least significant first; a block starts on a byte.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bounded, groups, map_arrow
+from tidemark.llm.common import groups, map_arrow
 from tidemark.operators.ordered import range_bounds
 from tidemark.session import materialise, scratch_path
 
@@ -28,6 +32,7 @@ HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
 CACHE_WORDS = 200_000
+CACHE_RUNS = 400_000
 
 
 def bits_for(vocab: int) -> int:
@@ -118,28 +123,136 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+#: Letters that the tokenizer's normaliser only lowers, and signs that it
+#: leaves alone and that never join with letters.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Texts of letters, blanks, newlines and single stops and commas.
+PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ \n]++|[.,](?![.,]))*+")
+#: Texts of letters, digits, signs, blanks and newlines, no special token in
+#: them; and what they are cut into once lowered.
+SIGNED = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ \n!-&(-;=-@\[-`{-~]++|<(?!\|))*+")
+RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+JOINED_RUNS = 512
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + i) for i in range(256))
+    return {b: chr(b) if b in plain else next(rest) for b in range(256)}
+
+
+class Words(dict):
+    """Ids of words as bytes.  A lookup of a new word notes it as fresh; two
+    generations bound the size."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old, self.fresh = limit, {}, []
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self.old.get(word)
+        if found is None:
+            self.fresh.append(word)
+        self[word] = found
+        return found
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, through a bounded cache of words.
+    """Ids of texts by a tokenizer file, through bounded caches.
 
     The tokenizer drops white space and never looks across it, so a text's
-    ids are those of its blank- and newline-separated parts in order; each
-    new part goes through the library once.
+    ids are those of its blank- and newline-separated parts in order.  Parts
+    of runs of letters and of signs go to the tokenizer's model as these
+    runs, many in one call; each run's ids end with the one that closes a
+    word.  Any other part goes through the whole tokenizer.  A text of
+    nothing but such runs is cut into them at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: Bounded = Bounded(CACHE_WORDS)
+        self.runs_only = Tokenizer(self.tokenizer.model)
+        self.runs_only.pre_tokenizer = WhitespaceSplit()
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(self.vocab, bool)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.closes[i] = bool(suffix) and piece.endswith(suffix)
+        self.words, self.runs = Words(CACHE_WORDS), Words(CACHE_RUNS)
+        self.alphabet = byte_alphabet()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        written = [r if r.isascii() else r.encode().decode("latin-1").translate(self.alphabet) for r in runs]
+        lots = [" ".join(written[i : i + JOINED_RUNS]) for i in range(0, len(written), JOINED_RUNS)]
+        ids = [np.array(e.ids, "<u4") for e in self.runs_only.encode_batch_fast(lots, add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        ends = (np.flatnonzero(self.closes[flat]) + 1) * 4
+        if len(ends) != len(runs):
+            raise ValueError("the model does not close every run once")
+        data = flat.tobytes()
+        self.runs.update(zip(runs, (data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+
+    def _learn(self, fresh: list[str]) -> None:
+        simple, odd, runs = [], [], self.runs
+        note, look = simple.append, runs.__getitem__
+        for w in fresh:
+            if w.isalpha():
+                if w.isascii() or LETTERS.fullmatch(w):
+                    w2 = w.lower()
+                    note((w, w2, ""))
+                    look(w2)
+                    continue
+            elif m := SIMPLE.fullmatch(w):
+                letters, signs = m[1].lower(), m[2]
+                note((w, letters, signs))
+                if letters:
+                    look(letters)
+                if signs:
+                    look(signs)
+                continue
+            odd.append(w)
+        self._fill()
+        words = self.words
+        words.update((w, (runs[a] if a else b"") + (runs[b] if b else b"")) for w, a, b in simple)
+        if odd:
+            found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+            words.update((w, array("I", e.ids).tobytes()) for w, e in zip(odd, found, strict=True))
+
+    def _fill(self) -> None:
+        """Ids of the runs that lookups have noted."""
+        if self.runs.fresh:
+            self._learn_runs(self.runs.fresh)
+            self.runs.fresh = []
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        if fresh := cache.missing({w for p in parts for w in p}):
-            found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-            cache.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found, strict=True))
-        return [np.frombuffer(b"".join([cache[w] for w in p]), "<u4") for p in parts]
+        self.words.turn()
+        self.runs.turn()
+        of_run, of_word = self.runs.__getitem__, self.words.__getitem__
+        parts = []
+        for t in texts:
+            if PLAIN.fullmatch(t):
+                parts.append((of_run, t.lower().replace(".", " . ").replace(",", " , ").split()))
+            elif SIGNED.fullmatch(t):
+                parts.append((of_run, RUN.findall(t.lower())))
+            else:
+                parts.append((of_word, t.replace("\n", " ").split(" ")))
+        for look, p in parts:
+            deque(map(look, p), 0)
+        if self.words.fresh:
+            self._learn(self.words.fresh)
+            self.words.fresh = []
+        self._fill()
+        return [np.frombuffer(b"".join(map(look, p)), "<u4") for look, p in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

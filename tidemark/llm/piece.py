@@ -216,7 +216,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.model.parts(t) for t in texts]
         cache = self.cache
-        if fresh := cache.missing({w for p in parts for w in p}):
+        if fresh := cache.missing(set().union(*parts)):
             cache.update(zip(fresh, (x.tobytes() for x in self.model.words(fresh)), strict=True))
         ends = np.array([self.model.bos], "<u4").tobytes(), np.array([self.model.eos], "<u4").tobytes()
         return [np.frombuffer(b"".join([ends[0], *[cache[w] for w in p], ends[1]]), "<u4") for p in parts]
