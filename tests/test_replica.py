@@ -83,3 +83,46 @@ def test_acks_commits_configs_and_traffic(spark):
 def test_due_entries(spark):
     log = spark.createDataFrame([(i, [1] if i == 4 else None) for i in range(1, 8)], "idx bigint, config array<int>")
     assert [r.idx for r in replica.to_apply(log, 2, 6, 2).orderBy("idx").collect()] == [3, 5, 6]
+
+
+def test_propose_elect_and_step_down(spark):
+    log = logs(spark, [1, 1])
+    asked = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "group_id int, ord int")
+    status = spark.createDataFrame([(1, "Leader", 4), (2, "Follower", 4)], "group_id int, role string, term bigint")
+    assert sorted((r.group_id, r.idx, r.accepted) for r in replica.propose(log, asked, status).collect()) == [(1, 3, True), (1, 4, True), (2, -1, False)]
+    nodes = [(0, "Leader", 3, 0, [0, 1], 900, 300), (1, "Follower", 3, 0, [0, 1], 300, 300), (2, "Follower", 3, -1, [], 900, 300), (3, "Follower", 3, -1, [3], 10, 300)]
+    df = spark.createDataFrame(nodes, "node int, role string, term bigint, voted_for int, config array<int>, elapsed_ms int, timeout_ms int")
+    assert [tuple(r) for r in replica.election_due(df).collect()] == [(1, 4, 1)]
+    seen = spark.createDataFrame([(0, 5), (1, 2)], "node int, term bigint")
+    got = {r.node: (r.role, r.term, r.voted_for) for r in replica.step_down(df, seen).collect()}
+    assert got[0] == ("Follower", 5, -1) and got[1] == ("Follower", 3, 0) and got[2][1] == 3
+
+
+def test_trackers(spark):
+    progress = spark.createDataFrame([(1, "a", 4, 5), (1, "b", 2, 3)], "group_id int, peer string, match_idx bigint, next_idx bigint")
+    acks = spark.createDataFrame([(1, "b", 9), (1, "a", 1)], "group_id int, peer string, snap_idx bigint")
+    assert sorted(tuple(r) for r in replica.acknowledge_snapshot(progress, acks).collect()) == [(1, "a", 4, 5), (1, "b", 9, 10)]
+    members = spark.createDataFrame([(1, "a"), (1, "c")], "group_id int, peer string")
+    ends = spark.createDataFrame([(1, 7)], "group_id int, last_idx bigint")
+    assert sorted(tuple(r) for r in replica.refresh_progress(progress, members, ends).collect()) == [(1, "a", 4, 5), (1, "c", 0, 8)]
+
+
+def test_compaction_folds_membership(spark):
+    log = spark.createDataFrame([(1, i, 1, [0, 1, 2, 3] if i == 2 else [0, 1] if i == 4 else None) for i in range(1, 6)], "group_id int, idx bigint, term bigint, config array<int>")
+    base = spark.createDataFrame([(1, [0, 1, 2])], "group_id int, base_config array<int>")
+    at = lambda i: spark.createDataFrame([(1, i)], "group_id int, snap_idx bigint")
+    for i, left, config in ((1, [2, 3, 4, 5], [0, 1, 2]), (3, [4, 5], [0, 1, 2, 3]), (5, [], [0, 1]), (9, [1, 2, 3, 4, 5], [0, 1, 2])):
+        kept, folded = replica.compact_log(log, at(i), base)
+        assert sorted(r.idx for r in kept.collect()) == left and folded.head().base_config == config
+    assert [tuple(r) for r in replica.snapshot_epochs(log, 2).collect()] == []
+    assert [r.idx for r in replica.snapshot_epochs(log, 3).collect()] == [3]
+
+
+def test_reads_and_waiters(spark):
+    log = spark.createDataFrame([(1, "k", 0, "a"), (2, "k", 0, "b"), (3, "k", 1, "")], "seq bigint, key string, kind int, value string")
+    status = spark.createDataFrame([(0, 3), (1, 2), (2, 0)], "node int, applied_idx bigint")
+    assert [[r.value for r in replica.read_from(log, status, n).collect()] for n in (0, 1, 2)] == [[], ["b"], []]
+    waiters = spark.createDataFrame([(0, 3), (1, 3), (1, 2)], "node int, idx bigint")
+    assert sorted(tuple(r) for r in replica.waiters_done(waiters, status).collect()) == [(0, 3), (1, 2)]
+    applied = spark.createDataFrame([(0, 1, "x"), (1, 1, "x"), (0, 2, "y"), (1, 2, "z")], "node int, idx bigint, command string")
+    assert sorted(tuple(r) for r in replica.applied_nodes(applied).collect()) == [(1, 2, True), (2, 2, False)]

@@ -216,3 +216,80 @@ def to_apply(log: DataFrame, applied: int, commit: int, snapshot_idx: int = 0) -
     and no membership entries."""
     due = F.col("idx").between(max(applied, snapshot_idx) + 1, commit)
     return log.where(due & F.col("config").isNull())
+
+
+def propose(log: DataFrame, commands: DataFrame, status: DataFrame) -> DataFrame:
+    """(group_id, ord, idx, term, accepted) of proposed commands (group_id,
+    ord): a leader appends them after its last entry with its own term, any
+    other node answers -1.  status: group_id, role, term."""
+    ends = log.groupBy("group_id").agg(F.max("idx").alias("_e"))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("ord"))
+    asked = commands.withColumn("_r", place).join(status, "group_id").join(ends, "group_id", "left")
+    leads = F.col("role") == "Leader"
+    return asked.select("group_id", "ord", F.when(leads, F.coalesce("_e", F.lit(0)) + F.col("_r")).otherwise(F.lit(-1)).cast("bigint").alias("idx"), "term", leads.alias("accepted"))
+
+
+def election_due(status: DataFrame) -> DataFrame:
+    """Nodes that start an election: no leaders, members of their own
+    configuration (a learner with an empty one never is), timeout passed."""
+    return status.where((F.col("role") != "Leader") & F.array_contains("config", F.col("node")) & (F.col("elapsed_ms") >= F.col("timeout_ms"))).select("node", (F.col("term") + 1).alias("term"), F.col("node").alias("voted_for"))
+
+
+def step_down(status: DataFrame, seen: DataFrame) -> DataFrame:
+    """A node that has seen a higher term follows it and has not voted in it."""
+    top = seen.groupBy("node").agg(F.max("term").alias("_t"))
+    joined = status.join(top, "node", "left")
+    behind = F.coalesce(F.col("_t") > F.col("term"), F.lit(False))
+    changed = {"term": F.col("_t"), "role": F.lit("Follower"), "voted_for": F.lit(-1)}
+    return joined.select(*(F.when(behind, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in status.columns))
+
+
+def acknowledge_snapshot(progress: DataFrame, acks: DataFrame) -> DataFrame:
+    """match = max(match, boundary) of snapshots that peers have installed."""
+    best = acks.groupBy("group_id", "peer").agg(F.max("snap_idx").alias("_m"))
+    match = F.greatest(F.col("match_idx"), F.coalesce("_m", F.col("match_idx")))
+    return progress.join(best, ["group_id", "peer"], "left").select("group_id", "peer", match.alias("match_idx"), (match + 1).alias("next_idx"))
+
+
+def refresh_progress(progress: DataFrame, members: DataFrame, ends: DataFrame) -> DataFrame:
+    """Trackers (group_id, peer) of a new configuration: kept ones keep their
+    place, new ones start after the last entry, others go."""
+    joined = members.join(progress, ["group_id", "peer"], "left").join(ends.select("group_id", "last_idx"), "group_id", "left")
+    return joined.select("group_id", "peer", F.coalesce("match_idx", F.lit(0)).cast("bigint").alias("match_idx"), F.coalesce("next_idx", F.coalesce("last_idx", F.lit(0)) + 1).cast("bigint").alias("next_idx"))
+
+
+def compact_log(log: DataFrame, boundary: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log above the boundary, group_id + base_config): a snapshot at
+    boundary (group_id, snap_idx) folds the membership in force there into the
+    base (group_id, base_config); a boundary beyond the log is ignored."""
+    ends = log.groupBy("group_id").agg(F.max("idx").alias("_e"))
+    cut = boundary.join(ends, "group_id").where(F.col("snap_idx") <= F.col("_e")).drop("_e")
+    joined = log.join(cut, "group_id", "left")
+    kept = joined.where(F.col("snap_idx").isNull() | (F.col("idx") > F.col("snap_idx"))).select(*log.columns)
+    under = joined.where(F.col("config").isNotNull() & (F.col("idx") <= F.col("snap_idx"))).groupBy("group_id").agg(F.max_by("config", "idx").alias("_c"))
+    return kept, base.join(under, "group_id", "left").select("group_id", F.coalesce("_c", "base_config").alias("base_config"))
+
+
+def read_from(log: DataFrame, status: DataFrame, node: int) -> DataFrame:
+    """What node ``node`` answers: the state of the mutations up to its own
+    applied index, which may be stale.  log: seq, key, kind, value."""
+    from tidemark.operators.state import latest_state
+
+    applied = status.where(F.col("node") == node).agg(F.max("applied_idx").alias("_a"))  # one row
+    return latest_state(log.crossJoin(F.broadcast(applied)).where(F.col("seq") <= F.col("_a")).drop("_a"))
+
+
+def applied_nodes(applied: DataFrame) -> DataFrame:
+    """How many nodes have applied each index, and whether they agree on it."""
+    return applied.groupBy("idx").agg(F.count_distinct("node").alias("n_nodes"), (F.min("command") == F.max("command")).alias("agree"))
+
+
+def waiters_done(waiters: DataFrame, status: DataFrame) -> DataFrame:
+    """Waiters (node, idx) whose index their node has applied."""
+    return waiters.join(status.select("node", "applied_idx"), "node").where(F.col("idx") <= F.col("applied_idx")).select(*waiters.columns)
+
+
+def snapshot_epochs(log: DataFrame, every: int = 50) -> DataFrame:
+    """Indices at which a snapshot is taken: multiples of ``every`` that are
+    commands; a membership entry there skips its turn."""
+    return log.where((F.col("idx") % every == 0) & F.col("config").isNull()).select("group_id", "idx", F.floor(F.col("idx") / every).alias("epoch"))
