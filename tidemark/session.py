@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +47,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written in each open ``scope``, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    lost executors cost a reread, not a recomputation."""
+    lost executors cost a reread, not a recomputation.  Inside a ``scope`` the
+    table lives until the scope ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables materialised inside are deleted at the end.  What shall outlive
+    them goes through the function that is handed out: it writes the result
+    for the scope around this one."""
+    _SCOPES.append([])
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        own = _SCOPES.pop()
+        try:
+            return materialise(df, label)
+        finally:
+            _SCOPES.append(own)
+
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of any URI that Spark itself can open."""
     jvm = spark.sparkContext._jvm
