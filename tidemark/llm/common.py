@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, ship_package
+from tidemark.session import materialise, scope, ship_package
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BATCH_ROWS = 512
@@ -95,20 +95,21 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", label: str
     the edges of a hub are joined with one row, so a large star is no group
     in anyone's memory.
     """
-    links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
-    seen = None
-    while True:
-        # large star: larger neighbours of u go to the smallest neighbour of u
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("_m")), "cc")
-        links = materialise(links.join(least, links.b == least._u).select("a", F.col("_m").alias("b")).distinct(), "cc")
-        # small star: u and its smaller neighbours go to the smallest of them
-        least = materialise(links.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), "_m"), "cc")
-        moved = links.join(least, links.a == least._u).where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        links = materialise(moved.unionByName(least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))).distinct(), "cc")
-        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).head())
-        if now == seen or not now[0]:
-            break
-        seen = now
-    found = links.select(F.col("a").alias("_n"), F.col("b").alias("_c"))
-    return nodes.select(node).join(found, F.col(node) == F.col("_n"), "left").select(node, F.coalesce("_c", node).alias(label))
+    with scope(nodes.sparkSession) as keep:
+        links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
+        seen = None
+        while True:
+            # large star: larger neighbours of u go to the smallest neighbour of u
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = materialise(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("_m")), "cc")
+            links = materialise(links.join(least, links.b == least._u).select("a", F.col("_m").alias("b")).distinct(), "cc")
+            # small star: u and its smaller neighbours go to the smallest of them
+            least = materialise(links.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), "_m"), "cc")
+            moved = links.join(least, links.a == least._u).where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+            links = materialise(moved.unionByName(least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))).distinct(), "cc")
+            now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).head())
+            if now == seen or not now[0]:
+                break
+            seen = now
+        found = links.select(F.col("a").alias("_n"), F.col("b").alias("_c"))
+        return keep(nodes.select(node).join(found, F.col(node) == F.col("_n"), "left").select(node, F.coalesce("_c", node).alias(label)), "components")

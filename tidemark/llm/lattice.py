@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, map_arrow, mix64
-from tidemark.session import materialise
+from tidemark.session import materialise, scope
 
 THRESHOLD = 0.95
 TABLES = 14  # a pair at cosine 0.95 is missed with probability below 0.0004
@@ -163,17 +163,18 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     Unusable vectors (null, zero, null or non-finite components) have no link.
     A repeated vec_id counts once, with its smallest vector; rows without
     vec_id are left out."""
-    source = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    source = source.withColumn("embedding", F.when(F.coalesce(usable, F.lit(False)), F.transform("embedding", lambda x: x + F.lit(0.0))))
-    one = materialise(source.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    whole = one.where("embedding is not null")
-    classes = materialise(whole.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    links = materialise(linked_pairs(classes.select("id", "embedding")), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = classes.select(F.col("id").alias("b"), F.col("copies").alias("_c"))
-    outer = both.join(weight, "b").groupBy("a").agg(F.sum("_c").alias("_l")).select(F.col("a").alias("id"), "_l")
-    parts = components(classes.select("id"), links)
-    facts = materialise(classes.select("embedding", "id", "copies").join(outer, "id", "left").join(parts, "id").select("embedding", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "facts")
-    own = F.coalesce("component", "vec_id")
-    return one.join(facts, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))
+    with scope(embeddings.sparkSession) as keep:
+        source = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+        usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        source = source.withColumn("embedding", F.when(F.coalesce(usable, F.lit(False)), F.transform("embedding", lambda x: x + F.lit(0.0))))
+        one = materialise(source.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+        whole = one.where("embedding is not null")
+        classes = materialise(whole.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+        links = materialise(linked_pairs(classes.select("id", "embedding")), "links")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        weight = classes.select(F.col("id").alias("b"), F.col("copies").alias("_c"))
+        outer = both.join(weight, "b").groupBy("a").agg(F.sum("_c").alias("_l")).select(F.col("a").alias("id"), "_l")
+        parts = components(classes.select("id"), links)
+        facts = materialise(classes.select("embedding", "id", "copies").join(outer, "id", "left").join(parts, "id").select("embedding", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "facts")
+        own = F.coalesce("component", "vec_id")
+        return keep(one.join(facts, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept")), "near-vectors")

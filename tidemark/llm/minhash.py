@@ -20,11 +20,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, Bounded, components, groups, map_arrow, mix64
-from tidemark.session import materialise
+from tidemark.llm.common import components, groups, map_arrow, mix64
+from tidemark.session import materialise, scope
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -34,58 +35,85 @@ DF_BITS = 22
 CHUNK = 1 << 14
 SIGNATURE = ROWS * BANDS
 FILTER_BITS = 1 << 24
-GROUP = 1 << 19
+GROUP = 1 << 20
+BLOCK = 1 << 14
 
 
 # -- texts to shingles ---------------------------------------------------------
-class Hasher:
-    """Words to 64-bit hashes through a bounded cache."""
-
-    def __init__(self):
-        self.cache = Bounded(200_000)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        if fresh := cache.missing(set(words)):
-            import xxhash
-
-            cache.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-        return np.fromiter((cache[w] for w in words), np.uint64, len(words))
-
-
-_HASHER = Hasher()
-
-
-def text_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, document of each) of all five-word windows; a text of fewer
-    words is one shingle, a text without words has none."""
-    words = [text_words(t) for t in texts]
-    flat = _HASHER([w for ws in words for w in ws])
-    n = np.array([len(w) for w in words], np.int64)
-    starts = np.cumsum(n) - n
-    h = np.zeros(len(flat), np.uint64)
-    owner = np.repeat(np.arange(len(texts)), n)
-    place = np.arange(len(flat)) - starts[owner] if len(flat) else np.zeros(0, np.int64)
-    left = n[owner] - place
-    size = np.where(n[owner] < SHINGLE, n[owner], SHINGLE)
-    for k in range(SHINGLE):
-        ok = np.flatnonzero((k < size) & (k < left))
-        h[ok] = mix64(h[ok] * np.uint64(0x9E3779B97F4A7C15) + flat[ok + k])
-    whole = left >= size
-    return h[whole], owner[whole]
-
-
-def counted(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, document) sorted by document, with their counts."""
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return h[at], owner[at], np.diff(np.r_[at, len(h)])
+class Digests(dict):
+    """Words to eight bytes of hash; two generations bound the size."""
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = xxhash.xxh3_64_digest(word)
+        self[word] = found
+        return found
+
+
+_DIGESTS = Digests()
+HASH_BITS = 44  # of a shingle: the other 20 bits of a sort key number the texts
+#: Odd multipliers of a window's words.
+STEPS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1) for k in range(SHINGLE)]
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all lower-case words one after another, words per text)."""
+    _DIGESTS.turn()
+    words = [t.lower().split() for t in texts]
+    look = _DIGESTS.__getitem__
+    flat = np.frombuffer(b"".join([x for ws in words for x in map(look, ws)]), "<u8").astype(np.uint64)
+    return flat, np.array([len(w) for w in words], np.int64)
+
+
+def shingled(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, count) of every text's distinct five-word windows, in
+    order of text and hash.  A text of fewer words is one window; a text
+    without words has none."""
+    ends = np.cumsum(n)
+    low = (1 << 64) - 1 >> (64 - HASH_BITS)
+    keys = []
+    if len(flat) >= SHINGLE:
+        m = len(flat) - SHINGLE + 1
+        h = flat[:m] * STEPS[0]
+        for k in range(1, SHINGLE):
+            h += flat[k : k + m] * STEPS[k]
+        inside = np.ones(m, bool)
+        for k in range(1, SHINGLE):  # windows that would cross a text's end
+            over = ends - k
+            inside[over[(over >= 0) & (over < m)]] = False
+        owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)[:m]
+        keys.append((owner[inside] << np.uint64(HASH_BITS)) | (mix64(h[inside]) & np.uint64(low)))
+    for i in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist():
+        part = flat[ends[i] - n[i] : ends[i]]
+        h = mix64(np.array([sum(int(x) * int(c) for x, c in zip(part, STEPS, strict=False)) + int(n[i]) & (1 << 64) - 1], np.uint64))
+        keys.append(np.uint64(i << HASH_BITS) | (h & np.uint64(low)))
+    if not keys:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    key = np.sort(np.concatenate(keys))
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    key, count = key[at], np.diff(np.r_[at, len(key)])
+    return key & np.uint64(low), (key >> np.uint64(HASH_BITS)).astype(np.int64), count
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingled`` of texts."""
+    return shingled(*hashed_words(texts))
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    """The counter of a shingle: the top bits of its hash."""
+    return (h >> np.uint64(HASH_BITS - DF_BITS)).astype(np.int64)
 
 
 # -- document frequencies -------------------------------------------------------
@@ -96,10 +124,12 @@ def _count(batches):
     for batch in batches:
         ids = batch.column("doc_id")
         for low, texts in groups(batch.column("text").to_pylist(), GROUP):
-            h, owner, _ = counted(*shingles(texts))
-            np.add(counters, np.bincount((h >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32), out=counters) if len(h) > 1 << 18 else np.add.at(counters, (h >> np.uint64(64 - DF_BITS)).astype(np.int64), np.uint32(1))
+            flat, words = hashed_words(texts)
+            h, owner, _ = shingled(flat, words)
+            np.add.at(counters, slot(h), np.uint32(1))
             n = np.bincount(owner, minlength=len(texts))
-            keys = [hashlib.blake2b("\x00".join(text_words(t)).encode("utf-8", "surrogatepass"), digest_size=16).digest() if c else None for t, c in zip(texts, n, strict=True)]
+            ends = np.cumsum(words)
+            keys = [hashlib.blake2b(flat[e - w : e].tobytes(), digest_size=16).digest() if w else None for w, e in zip(words.tolist(), ends.tolist(), strict=True)]
             k = len(texts)
             yield pa.RecordBatch.from_arrays([ids.slice(low, k), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     for c in range(len(counters) // CHUNK):
@@ -145,7 +175,7 @@ def idf_levels(counts: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def idf(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return 1 + IDF_SPAN / 255 * levels[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    return 1 + IDF_SPAN / 255 * levels[slot(h)]
 
 
 # -- consistent weighted samples --------------------------------------------------
@@ -165,41 +195,50 @@ class Draws:
         self.inverse = (1 / lo).astype(np.float32)
         self.log_c = np.log(lo).astype(np.float32)
         self.beta = u.astype(np.float32)
-        self.bits, self.mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        self.bits, self.mask = bits, (1 << bits) - 1
 
 
 _DRAWS: list[Draws] = []
 
 
+_ODD = [np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03 * (2 * k + 2)) % (1 << 64) | 1) for k in range(SIGNATURE)]
+
+
 def signatures(h: np.ndarray, log_w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(documents, SIGNATURE) samples; segments must not be empty."""
+    """(texts, SIGNATURE) samples; segments must not be empty.  Texts go in
+    blocks that fit the processor's cache."""
     if not _DRAWS:
         _DRAWS.append(Draws())
-    d = _DRAWS[0]
     log_w = log_w.astype(np.float32)
-    sizes = np.diff(np.r_[starts, len(h)])
+    ends = np.r_[starts[1:], len(h)]
     out = np.empty((len(starts), SIGNATURE), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        part = slice(int(starts[i]), int(ends[j - 1]))
+        _sample(h[part], log_w[part], starts[i:j] - starts[i], out[i:j])
+        i = j
+    return out
+
+
+def _sample(h: np.ndarray, log_w: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    d = _DRAWS[0]
+    place = np.arange(len(h), dtype=np.int64)
+    top, low = np.uint64(64 - d.bits), np.uint64(64 - 2 * d.bits)
+    last = np.uint64(64 - 3 * d.bits)
     for k in range(SIGNATURE):
-        x = h * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03 * (2 * k + 2)) & (2**64 - 1) | 1)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        i = (x & d.mask).astype(np.int32)
-        j = ((x >> d.bits) & d.mask).astype(np.int32)
-        b = d.beta[((x >> (d.bits + d.bits)) & d.mask).astype(np.int32)]
-        r = d.r[i]
+        x = h * _ODD[k]
+        i = (x >> top).astype(np.int64)
+        j = ((x >> low).astype(np.int64)) & d.mask
+        b = d.beta[((x >> last).astype(np.int64)) & d.mask]
         t = np.floor(log_w * d.inverse[i] + b)
-        a = d.log_c[j] - r * (t - b + 1)
-        low = np.minimum.reduceat(a, starts)
-        hit = np.flatnonzero(a == np.repeat(low, sizes))
-        # the element of the smallest hash among exact ties
-        seg = np.searchsorted(starts, hit, "right") - 1
-        order = np.lexsort((h[hit], seg)) if len(hit) > len(starts) else np.arange(len(hit))
-        hit, seg = hit[order], seg[order]
-        first = np.r_[True, seg[1:] != seg[:-1]]
-        hit = hit[first]
-        out[:, k] = mix64(h[hit] + t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return out
+        a = d.log_c[j] - d.r[i] * (t - b + 1)
+        # order-preserving integers with the place below: ties go to the
+        # smallest hash, for a text's shingles are sorted
+        v = a.view(np.int32)
+        v ^= (v >> 31) & 0x7FFFFFFF
+        at = np.minimum.reduceat((v.astype(np.int64) << 32) | place, starts) & 0xFFFFFFFF
+        out[:, k] = mix64(h[at] + t[at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -218,7 +257,7 @@ def sketch(docs: DataFrame, levels) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             for low, texts in groups(batch.column("text").to_pylist(), GROUP):
-                h, owner, count = counted(*shingles(texts))
+                h, owner, count = shingles(texts)
                 if not len(h):
                     continue
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -235,15 +274,29 @@ def sketch(docs: DataFrame, levels) -> DataFrame:
 
 
 # -- verification -----------------------------------------------------------------
-def weighted_jaccard(a: str, b: str, table: np.ndarray) -> float:
-    h, owner, count = counted(*shingles([a, b]))
-    w = count * idf(h, table)
-    cut = int(np.searchsorted(owner, 1))
-    x, y = (h[:cut], w[:cut]), (h[cut:], w[cut:])
-    common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    both = np.minimum(x[1][i], y[1][j]).sum()
-    either = w.sum() - both
-    return float(both / either) if either else 0.0
+def weighted_jaccards(left: list[str], right: list[str], table: np.ndarray) -> list[float]:
+    """Weighted Jaccard similarity of pairs; a text that comes again is
+    shingled once."""
+    number = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
+    sets = []
+    for _, texts in groups(list(number), GROUP):
+        h, owner, count = shingles(texts)
+        w = count * idf(h, table)
+        cuts = np.searchsorted(owner, np.arange(1, len(texts)))
+        sets += zip(np.split(h, cuts), np.split(w, cuts), strict=True)
+    out = []
+    for a, b in zip(left, right, strict=True):
+        (x, v), (y, w) = sets[number[a]], sets[number[b]]
+        if len(x) > len(y):
+            x, v, y, w = y, w, x, v
+        if not len(x):
+            out.append(0.0)
+            continue
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        hit = y[at] == x
+        both = np.minimum(v[hit], w[at[hit]]).sum()
+        out.append(float(both / (v.sum() + w.sum() - both)))
+    return out
 
 
 def member_filter(spark, ids: DataFrame) -> bytes:
@@ -271,7 +324,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     source = docs.select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
     likely = map_arrow(source, keep, "id bigint, text string, p bigint").drop("p")
-    return materialise(likely.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    return materialise(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
@@ -279,8 +332,8 @@ def verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            yield batch.select(["a", "b"]).filter(pa.array([weighted_jaccard(x, y, levels.value) >= THRESHOLD for x, y in zip(a, b, strict=True)], pa.bool_()))
+            found = weighted_jaccards(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), levels.value)
+            yield batch.select(["a", "b"]).filter(pa.array([x >= THRESHOLD for x in found], pa.bool_()))
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -288,27 +341,28 @@ def verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     return map_arrow(joined, run, "a bigint, b bigint")
 
 
-def novelty(texts: DataFrame, levels) -> DataFrame:
-    """id, novel: the weight of each text's shingles that no other of these
-    texts has.  Counted map-side first; shingles meet by hash."""
+def novelty(texts: DataFrame, parts: DataFrame, levels) -> DataFrame:
+    """id, novel: the weight of each text's shingles that no text of another
+    component has.  parts: id, component."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, own = batch.column("id").to_numpy(), batch.column("component").to_numpy()
             for low, part in groups(batch.column("text").to_pylist(), GROUP):
-                h, owner, count = counted(*shingles(part))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + owner]), pa.array(h.view(np.int64)), pa.array(count * idf(h, levels.value))], ["id", "h", "w"])
+                h, owner, count = shingles(part)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low + owner]), pa.array(own[low + owner]), pa.array(h.view(np.int64)), pa.array(count * idf(h, levels.value))], ["id", "component", "h", "w"])
 
-    rows = map_arrow(texts, run, "id bigint, h bigint, w double")
-    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
-    return alone.groupBy("id").agg(F.sum("w").alias("novel"))
+    rows = materialise(map_arrow(texts.join(parts, "id").select("id", "component", "text"), run, "id bigint, component bigint, h bigint, w double"), "shingles")
+    # counted map-side first, so a common shingle is a few rows
+    own = rows.groupBy("h").agg(F.min("component").alias("_l"), F.max("component").alias("_u")).where("_l = _u").select("h")
+    return rows.join(materialise(own, "own-shingles"), "h", "left_semi").groupBy("id").agg(F.sum("w").alias("novel"))
 
 
 def stray_pairs(rest: DataFrame, everyone: DataFrame) -> DataFrame:
     """Pairs of different components of a bucket that can still be links.
 
-    Novel shingles lie in no common part, so the common part of x and y weighs
-    at most ``min(|x| - novel(x), |y| - novel(y))``; a link needs
+    Shingles that no other component has lie in no common part, so the common
+    part of x and y weighs at most ``min(|x| - novel(x), |y| - novel(y))``; a link needs
     ``common * (1 + t) >= t * (|x| + |y|)``.  A text that differs from its
     hub by too much of its own therefore links with nothing, and for the
     others the weight of a partner is bounded on both sides: partners are
@@ -348,7 +402,7 @@ def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFr
     if open_.isEmpty():
         return links
     around = materialise(own.join(open_, "band"), "around")
-    novel = novelty(texts.join(around.select("id").distinct(), "id", "left_semi"), levels)
+    novel = novelty(texts, around.select("id", "component").distinct(), levels)
     around = materialise(around.join(novel, "id", "left").withColumn("novel", F.coalesce("novel", F.lit(0.0))), "around")
     pairs = materialise(stray_pairs(around.where("component <> _h"), around), "stray-pairs")
     return materialise(links.unionByName(verify(pairs, texts, levels)).distinct(), "links")
@@ -358,25 +412,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), component_id
     (smallest doc_id reachable by links), kept (it is that doc_id).
 
-    One row per doc_id (a repeated doc_id counts with all its texts as one
-    document per text: its smallest key decides); rows without doc_id are left
-    out.  Texts without words, null ones too, link with nothing.
+    One row per doc_id; rows without doc_id are left out.  Rows that share a
+    doc_id are one document, compared by its smallest text.  Texts without words, null ones too, link with nothing.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    first = materialise(map_arrow(docs, _count, "doc_id bigint, key binary, n_shingles bigint, chunk int, data binary"), "keys")
-    keys = first.where("chunk is null").groupBy("doc_id").agg(F.min("key").alias("key"))
-    keys = materialise(keys, "doc-keys")
-    classes = materialise(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
-    levels = spark.sparkContext.broadcast(idf_levels(first, keys.count()))
-    reps = classes.select(F.col("class_id").alias("doc_id"))
-    sketches = sketch(docs, levels).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "mean_idf", "size", "bands")
-    exploded = materialise(sketches.select("id", "mean_idf", "size", F.explode("bands").alias("band")), "bands")
-    crowded = materialise(exploded.groupBy("band").agg(F.min("id").alias("_l"), F.max("id").alias("_u")).where("_l < _u").select("band"), "crowded")
-    members = materialise(exploded.join(crowded, "band").distinct(), "members")
-    links = candidate_links(members, docs, levels)
-    parts = components(reps.select(F.col("doc_id").alias("id")), links, "id")
-    of_class = materialise(classes.join(parts.select(F.col("id").alias("class_id"), "component"), "class_id"), "class-parts")
-    placed = keys.join(of_class, "key", "left")
-    own = F.coalesce("component", "doc_id")
-    return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    with scope(docs.sparkSession) as keep:
+        spark = docs.sparkSession
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+        first = materialise(map_arrow(docs, _count, "doc_id bigint, key binary, n_shingles bigint, chunk int, data binary"), "keys")
+        keys = first.where("chunk is null").groupBy("doc_id").agg(F.min("key").alias("key"))
+        keys = materialise(keys, "doc-keys")
+        classes = materialise(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
+        levels = spark.sparkContext.broadcast(idf_levels(first, keys.count()))
+        reps = classes.select(F.col("class_id").alias("doc_id"))
+        sketches = sketch(docs, levels).join(reps, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("mean_idf", "size", "bands")).alias("_s")).select("id", "_s.*")
+        exploded = materialise(sketches.select("id", "mean_idf", "size", F.explode("bands").alias("band")), "bands")
+        crowded = materialise(exploded.groupBy("band").agg(F.min("id").alias("_l"), F.max("id").alias("_u")).where("_l < _u").select("band"), "crowded")
+        members = materialise(exploded.join(crowded, "band").distinct(), "members")
+        links = candidate_links(members, docs, levels)
+        parts = components(reps.select(F.col("doc_id").alias("id")), links, "id")
+        of_class = materialise(classes.join(parts.select(F.col("id").alias("class_id"), "component"), "class_id"), "class-parts")
+        placed = keys.join(of_class, "key", "left")
+        own = F.coalesce("component", "doc_id")
+        return keep(placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept")), "near-duplicates")

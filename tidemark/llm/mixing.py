@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import materialise, scope
 
 BLOCKS = 1024
 LEVELS = 6  # bisections per pass over the shares
@@ -136,15 +136,16 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[st
     Documents without tokens carry no weight; they go with their block.  A
     source without any token has no budget and goes out once, unchanged.
     """
-    sized = with_block(docs.select("doc_id", "source", "text"), seed).select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
-    tokens = materialise(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "mix-blocks")
-    chosen = materialise(plan(tokens, target, seed), "mix-plan")
-    # one row a block: its epochs and ranks.  At most BLOCKS rows a source.
-    per_block = chosen.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "rank"))).alias("_e"), F.max("weight").alias("weight"))
-    idle = tokens.groupBy("source").agg(F.sum("n_tokens").alias("_t")).where("_t = 0").select("source")
-    once = F.array(F.struct(F.lit(0).cast("bigint").alias("epoch"), F.lit(0).alias("rank")))
-    free = tokens.join(idle, "source").select("source", "block", once.alias("_e"), F.lit(0.0).alias("weight"))
-    table = materialise(per_block.unionByName(free), "mix-table")
+    with scope(docs.sparkSession) as out:
+        sized = with_block(docs.select("doc_id", "source", "text"), seed).select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
+        tokens = materialise(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "mix-blocks")
+        chosen = materialise(plan(tokens, target, seed), "mix-plan")
+        # one row a block: its epochs and ranks.  At most BLOCKS rows a source.
+        per_block = chosen.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "rank"))).alias("_e"), F.max("weight").alias("weight"))
+        idle = tokens.groupBy("source").agg(F.sum("n_tokens").alias("_t")).where("_t = 0").select("source")
+        once = F.array(F.struct(F.lit(0).cast("bigint").alias("epoch"), F.lit(0).alias("rank")))
+        free = tokens.join(idle, "source").select("source", "block", once.alias("_e"), F.lit(0.0).alias("weight"))
+        table = out(per_block.unionByName(free), "mix-table")
     keep = keep if keep is not None else docs.columns
     carried = with_block(docs, seed).select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)), "_source", "_block", "_tokens")
     table = table.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_e", F.col("weight").alias("_weight"))
