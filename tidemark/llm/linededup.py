@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import materialise, scope
 
 EDITS = 2
 MIN_CHARS = 20
@@ -85,35 +85,33 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 # -- segments and probes ----------------------------------------------------------
-def segment(length: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]:
-    """(start from 0, size) of segment i of a line: sizes differ by one at
-    most, the last ones are the longer ones."""
-    n = edits + 1
-    short = F.floor(length / n).cast("int")
-    longer = (length - short * n).cast("int")
-    extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(n) - longer))
-    size = short + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)
-    return short * i + extra, size
+def places(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(d, i, x): for lines d characters shorter, segment i is looked for x
+    places after its own place in the shorter line.
+
+    With |x| <= i and |x - d| <= edits - i, the edits before and after the
+    segment fit; other places need not be probed.  (0, i, 0) is the line's
+    own entry.
+    """
+    return [(d, i, x) for d in range(edits + 1) for i in range(edits + 1) for x in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def segment_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """array<struct(key, own, probe)>: index entries (own) and probes of a line.
+def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h, key, own of every line (h, line): index entries (own) and probes.
 
-    With d = the length difference, a segment of the shorter line that starts
-    at p can only be matched at places p + x with |x| <= i and
-    |x - d| <= edits - i: the edits before and after it must fit.
+    A line of length t has segments of t div (edits + 1) characters; the last
+    t mod (edits + 1) ones are one longer.  Places are exploded first, so one
+    short expression is compiled for all of them.
     """
-    out = []
-    for d in range(edits + 1):
-        target = length - d
-        for i in range(edits + 1):
-            start, size = segment(target, i, edits)
-            for x in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = start + x
-                fits = (at >= 0) & (at + size <= length) & (target >= edits + 1)
-                key = F.xxhash64(F.lit(i), target, F.substring(line, at + 1, size))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(d == 0 and x == 0).alias("own"))))
-    return F.array_compact(F.array(*out))
+    n = edits + 1
+    table = F.array(*(F.struct(F.lit(d).alias("_d"), F.lit(i).alias("_i"), F.lit(x).alias("_x")) for d, i, x in places(edits)))
+    each = let(lines.select("h", "line"), _n=F.char_length("line")).select("h", "line", "_n", F.inline(table))
+    each = let(each, _t=F.expr("_n - _d"), _s=F.expr(f"cast((_n - _d) div {n} as int)"))
+    each = let(each, _f=F.expr(f"{n} - (_t - _s * {n})"))  # the first of the longer segments
+    each = let(each, _p=F.expr("_s * _i + greatest(0, _i - _f) + _x"), _z=F.expr("_s + if(_i >= _f, 1, 0)"))
+    fits = F.expr(f"_p >= 0 AND _p + _z <= _n AND _t >= {n}")
+    key = F.xxhash64("_i", "_t", F.expr("substring(line, _p + 1, _z)"))
+    return each.where(fits).select("h", key.alias("key"), F.expr("_d = 0 AND _x = 0").alias("own"))
 
 
 # -- the job ------------------------------------------------------------------------
@@ -127,11 +125,19 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
 
 
+def let(df: DataFrame, **named: Column) -> DataFrame:
+    """``df`` with computed columns that later expressions refer to.  A plain
+    projection would be merged into them, and its work repeated at each use; a
+    generator of one row is not."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """_d, _t, pos, line (trimmed), h of the lines that count: MIN_CHARS code
     points at least."""
     each = with_row(docs).select(*ROW, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "_l"))
-    return each.select(*ROW, "pos", F.trim(F.col("_l"), F.lit(TRIM)).alias("line")).where(F.char_length("line") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
+    lines = let(each, line=F.trim(F.col("_l"), F.lit(TRIM))).where(F.char_length("line") >= MIN_CHARS)
+    return let(lines, h=F.xxhash64("line")).select(*ROW, "pos", "line", "h")
 
 
 def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -161,7 +167,7 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     first copy), one row per distinct line.  Keys are made twice: once to
     count, map-side, which buckets two lines share, and once to keep the rows
     of those buckets alone."""
-    keyed = lines.select("h", F.explode(segment_keys(F.col("line"), F.char_length("line"))).alias("k")).select("h", "k.key", "k.own")
+    keyed = segment_keys(lines.select("h", "line"))
     shared = keyed.groupBy("key").agg(F.max("own").alias("_any"), F.min("h").alias("_l"), F.max("h").alias("_u")).where("_any and _l < _u").select("key")
     shared = materialise(shared, "line-buckets")
     members = likely(keyed, shared, "key").groupBy("key", "h").agg(F.max("own").alias("own")).join(shared, "key")
@@ -200,8 +206,9 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """``docs`` with _exact and _near: positions of the lines that go."""
-    per = decisions(docs.select("doc_id", "text")).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("_exact"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("_near"))
-    per = materialise(per, "line-drops")
+    with scope(docs.sparkSession) as keep:
+        per = decisions(docs.select("doc_id", "text")).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("_exact"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("_near"))
+        per = keep(per, "line-drops")
     empty = F.array().cast("array<int>")
     joined = with_row(docs).join(per, list(ROW), "left")
     return joined.withColumn("_exact", F.coalesce("_exact", empty)).withColumn("_near", F.coalesce("_near", empty)).drop(*ROW)
