@@ -20,7 +20,8 @@ def made_up(n, seed=1):
     r = random.Random(seed)
     plain = ["".join(r.choice("abcdehlotn  .,\n▁ÀéZ'") for _ in range(r.randint(1, 60))) for _ in range(n)]
     wild = ["".join(chr(r.choice([r.randint(32, 0x2FF), r.randint(0x300, 0xD7FF), r.randint(0x1F300, 0x1F700)])) for _ in range(r.randint(1, 30))) for _ in range(n)]
-    return ODD + plain + wild
+    signs = ["".join(r.choice("ab éÀß  .,..!?|<>-_#$%&*()[]{}0123456789\n;:=+~^`@/\\\"") for _ in range(r.randint(1, 50))) for _ in range(n)]
+    return ODD + plain + wild + signs
 
 
 def corpus(spark, sf):

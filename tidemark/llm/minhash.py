@@ -327,23 +327,24 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialise(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
-    """The (a, b) whose weighted Jaccard similarity reaches the threshold."""
+def similarities(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
+    """a, b, s: the weighted Jaccard similarity of every pair."""
 
     def run(batches):
         for batch in batches:
             found = weighted_jaccards(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), levels.value)
-            yield batch.select(["a", "b"]).filter(pa.array([x >= THRESHOLD for x in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "s"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return map_arrow(joined, run, "a bigint, b bigint")
+    return map_arrow(joined, run, "a bigint, b bigint, s double")
 
 
 def novelty(texts: DataFrame, parts: DataFrame, levels) -> DataFrame:
-    """id, novel: the weight of each text's shingles that no text of another
-    component has.  parts: id, component."""
+    """id, novel, single: the weight of each text's shingles that no text of
+    another component has, and of those that no other text has.  parts: id,
+    component."""
 
     def run(batches):
         for batch in batches:
@@ -354,30 +355,38 @@ def novelty(texts: DataFrame, parts: DataFrame, levels) -> DataFrame:
 
     rows = materialise(map_arrow(texts.join(parts, "id").select("id", "component", "text"), run, "id bigint, component bigint, h bigint, w double"), "shingles")
     # counted map-side first, so a common shingle is a few rows
-    own = rows.groupBy("h").agg(F.min("component").alias("_l"), F.max("component").alias("_u")).where("_l = _u").select("h")
-    return rows.join(materialise(own, "own-shingles"), "h", "left_semi").groupBy("id").agg(F.sum("w").alias("novel"))
+    own = rows.groupBy("h").agg(F.min("component").alias("_l"), F.max("component").alias("_u"), F.count(F.lit(1)).alias("_n")).where("_l = _u").select("h", (F.col("_n") == 1).alias("_one"))
+    return rows.join(materialise(own, "own-shingles"), "h").groupBy("id").agg(F.sum("w").alias("novel"), F.sum(F.when(F.col("_one"), F.col("w")).otherwise(0.0)).alias("single"))
 
 
 def stray_pairs(rest: DataFrame, everyone: DataFrame) -> DataFrame:
     """Pairs of different components of a bucket that can still be links.
 
-    Shingles that no other component has lie in no common part, so the common
-    part of x and y weighs at most ``min(|x| - novel(x), |y| - novel(y))``; a link needs
-    ``common * (1 + t) >= t * (|x| + |y|)``.  A text that differs from its
-    hub by too much of its own therefore links with nothing, and for the
-    others the weight of a partner is bounded on both sides: partners are
-    looked up by bucket and weight class, one percent wide.  Nothing that
-    could be a link is left out.
+    Two exact bounds on the common weight of x and y decide, and nothing that
+    could be a link is left out; a link needs
+    ``common * (1 + t) >= t * (|x| + |y|)``.
+
+    * Shingles that no other component has lie in no common part:
+      ``common <= min(|x| - novel(x), |y| - novel(y))``.
+    * With the bucket's hub h, ``in(x)`` the weight x shares with h (known from
+      their similarity) and ``out(x)`` the rest of x without the shingles that
+      x alone has: ``common <= min(in(x), in(y)) + min(out(x), out(y))``.
+
+    A text too far from its hub on its own account therefore links with
+    nothing, and for the others the weight of a partner is bounded on both
+    sides: partners are looked up by bucket and weight class, one percent wide.
     """
     t, step = THRESHOLD, math.log(1.01)
-    slot = lambda x: F.floor(F.log(x) / step).cast("int")
+    level = lambda x: F.floor(F.log(x) / step).cast("int")
     most = (F.col("size") - F.col("novel")) * ((1 + t) / t) - F.col("size")
     able = rest.withColumn("_most", most * (1 + 1e-9)).where(F.col("_most") >= t * F.col("size"))
-    probes = able.select("band", F.col("id").alias("s"), F.col("component").alias("_s"), F.col("size").alias("_z"), F.col("novel").alias("_n"), F.explode(F.sequence(slot(t * F.col("size")) - 1, slot(F.col("_most")) + 1)).alias("slot"))
-    partners = everyone.select("band", "id", "component", "size", "novel", slot(F.col("size")).alias("slot"))
-    fits = F.least(F.col("size") - F.col("novel"), F.col("_z") - F.col("_n")) * (1 + t) * (1 + 1e-9) >= t * (F.col("size") + F.col("_z"))
-    joined = probes.join(partners, (probes.band == partners.band) & (probes.slot == partners.slot) & (F.col("component") != F.col("_s")) & fits)
-    return joined.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
+    facts = ["id", "component", "size", "novel", "inner", "outer"]
+    probes = able.select(F.col("band").alias("_band"), *(F.col(c).alias(f"_{c}") for c in facts), F.explode(F.sequence(level(t * F.col("size")) - 1, level(F.col("_most")) + 1)).alias("_slot"))
+    partners = everyone.select("band", *facts, level(F.col("size")).alias("slot"))
+    common = F.least(F.col("size") - F.col("novel"), F.col("_size") - F.col("_novel"), F.least("inner", "_inner") + F.least("outer", "_outer"))
+    fits = common * (1 + t) * (1 + 1e-9) >= t * (F.col("size") + F.col("_size"))
+    joined = probes.join(partners, (F.col("band") == F.col("_band")) & (F.col("slot") == F.col("_slot")) & (F.col("component") != F.col("_component")) & fits)
+    return joined.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
 def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFrame:
@@ -391,21 +400,28 @@ def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFr
     """
     ids = materialise(members.select("id").distinct(), "ids")
     texts = texts_of(texts_from, ids)
-    hubs = materialise(members.groupBy("band").agg(F.min(F.struct("mean_idf", "id")).alias("h")).select("band", F.col("h.id").alias("hub")), "hubs")
-    placed = materialise(members.join(hubs, "band"), "placed")
-    pairs = placed.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = materialise(verify(pairs, texts, levels), "links")
+    hubs = members.groupBy("band").agg(F.min(F.struct("mean_idf", "id", "size")).alias("h"))
+    hubs = materialise(hubs.select("band", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size")), "hubs")
+    placed = materialise(members.join(hubs, "band").select("band", "id", "size", "hub", "hub_size", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), "placed")
+    star = materialise(similarities(placed.where("a < b").select("a", "b").distinct(), texts, levels), "star")
+    links = star.where(F.col("s") >= THRESHOLD).select("a", "b")
     known = materialise(components(ids, links), "parts")
     other = known.select(F.col("id").alias("hub"), F.col("component").alias("_h"))
-    own = materialise(placed.join(known, "id").join(other, "hub").select("band", "id", "size", "component", "_h"), "own")
+    own = materialise(placed.join(known, "id").join(other, "hub"), "own")
     open_ = materialise(own.where("component <> _h").select("band").distinct(), "open")
     if open_.isEmpty():
         return links
-    around = materialise(own.join(open_, "band"), "around")
+    around = materialise(own.join(open_, "band").join(star, ["a", "b"], "left"), "around")
     novel = novelty(texts, around.select("id", "component").distinct(), levels)
-    around = materialise(around.join(novel, "id", "left").withColumn("novel", F.coalesce("novel", F.lit(0.0))), "around")
+    # a hub is all inside itself
+    inner = F.when(F.col("id") == F.col("hub"), F.col("size")).otherwise((F.col("size") + F.col("hub_size")) * F.col("s") / (1 + F.col("s")))
+    around = around.join(novel, "id", "left").withColumn("novel", F.coalesce("novel", F.lit(0.0))).withColumn("inner", inner)
+    single = F.when(F.col("id") == F.col("hub"), F.lit(0.0)).otherwise(F.coalesce("single", F.lit(0.0)))
+    around = around.withColumn("outer", F.greatest(F.lit(0.0), F.col("size") - F.col("inner") - single) + 1e-9 * F.col("size"))
+    around = materialise(around.select("band", "id", "component", "_h", "size", "novel", "inner", "outer"), "around")
     pairs = materialise(stray_pairs(around.where("component <> _h"), around), "stray-pairs")
-    return materialise(links.unionByName(verify(pairs, texts, levels)).distinct(), "links")
+    more = similarities(pairs, texts, levels).where(F.col("s") >= THRESHOLD).select("a", "b")
+    return materialise(links.unionByName(more).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
