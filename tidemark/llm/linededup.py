@@ -24,7 +24,10 @@ from tidemark.session import materialise, scope
 
 EDITS = 2
 MIN_CHARS = 20
-FILTER_BITS = 1 << 24
+FILTER_LOG = 24
+FILTER_BITS = 1 << FILTER_LOG
+#: Groups of characters whose counts are compared before texts are.
+GROUPS = ("ae", "io", "un", "rt", "sl", "hd", "cm ", "gbpfy", "0123456789", ".,;:-")
 TRIM = "\x20\t\n\x0b\x0c\r"
 
 
@@ -69,7 +72,9 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
             first = F.struct(acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["score"].alias("score"), eq.alias("eq"))
             # arrays of one element stand for local variables: each is computed once
-            return F.get(F.transform(F.transform(F.array(first), tail), close), F.lit(0))
+            moved = F.get(F.transform(F.transform(F.array(first), tail), close), F.lit(0))
+            # no value in the band is less than score - 2 * edits
+            return F.when(acc["score"] > 3 * edits, acc).otherwise(moved)
 
         start = F.struct(F.lit(full ^ ((1 << edits) - 1)).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(edits).cast("bigint").alias("score"))
         end = F.aggregate(F.sequence(F.lit(1), s["n"]), start, step)
@@ -101,17 +106,19 @@ def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     A line of length t has segments of t div (edits + 1) characters; the last
     t mod (edits + 1) ones are one longer.  Places are exploded first, so one
-    short expression is compiled for all of them.
+    short expression is compiled for all of them.  Lines have edits + 1
+    characters at least, so every place lies inside the line.
     """
     n = edits + 1
     table = F.array(*(F.struct(F.lit(d).alias("_d"), F.lit(i).alias("_i"), F.lit(x).alias("_x")) for d, i, x in places(edits)))
-    each = let(lines.select("h", "line"), _n=F.char_length("line")).select("h", "line", "_n", F.inline(table))
-    each = let(each, _t=F.expr("_n - _d"), _s=F.expr(f"cast((_n - _d) div {n} as int)"))
-    each = let(each, _f=F.expr(f"{n} - (_t - _s * {n})"))  # the first of the longer segments
-    each = let(each, _p=F.expr("_s * _i + greatest(0, _i - _f) + _x"), _z=F.expr("_s + if(_i >= _f, 1, 0)"))
-    fits = F.expr(f"_p >= 0 AND _p + _z <= _n AND _t >= {n}")
-    key = F.xxhash64("_i", "_t", F.expr("substring(line, _p + 1, _z)"))
-    return each.where(fits).select("h", key.alias("key"), F.expr("_d = 0 AND _x = 0").alias("own"))
+    # four bytes a code point: any place is found without counting characters
+    each = let(lines.select("h", "line"), _n=F.char_length("line"), _u=F.encode("line", "UTF-32")).select("h", "_u", "_n", F.inline(table))
+    t = "(_n - _d)"
+    size = f"cast({t} div {n} as int)"
+    longer = f"({n} - {t} % {n})"  # the first of the longer segments
+    at = f"({size} * _i + greatest(0, _i - {longer}) + _x)"
+    key = F.xxhash64("_i", F.expr(t), F.expr(f"substring(_u, 4 * {at} + 1, 4 * ({size} + if(_i >= {longer}, 1, 0)))"))
+    return each.select("h", key.alias("key"), F.expr("_d = 0 AND _x = 0").alias("own"))
 
 
 # -- the job ------------------------------------------------------------------------
@@ -141,14 +148,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """The rows whose ``column`` (a hash) may be in ``wanted``: a bitmap of
-    2 MB at any size drops most others before the join that decides."""
-    at = F.pmod(column, F.lit(FILTER_BITS))
-    bits = wanted.select(at.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    marked = rows.withColumn("_p", at).withColumn("_k", F.bitmap_bucket_number("_p")).withColumn("_at", F.bitmap_bit_position("_p"))
-    joined = marked.join(F.broadcast(bits), "_k")  # at most FILTER_BITS / 32768 rows of 4 KB
-    octet = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.call_function("getbit", octet, F.pmod("_at", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+    """The rows whose ``column`` (a hash) may be in ``wanted``: a bit table of
+    FILTER_BITS bits, 64 to a row, drops most others before the join that
+    decides.  Its size is bounded whatever the number of hashes."""
+    word, bit = F.shiftrightunsigned(column, 64 - FILTER_LOG + 6), F.shiftrightunsigned(column, 64 - FILTER_LOG).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = wanted.groupBy(word.alias("_w")).agg(F.bit_or(one).alias("_bits"))
+    joined = rows.join(F.broadcast(bits), word == F.col("_w"))  # at most FILTER_BITS / 64 rows of 16 bytes
+    return joined.where(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,31 +167,53 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.where(edit_distance(F.col("_a"), F.col("_b")) <= EDITS).select("h").distinct()
 
 
+def char_counts(line: Column) -> dict[str, Column]:
+    """How often some groups of characters occur in a line.  An edit changes
+    the sum of all counts' differences by two at most."""
+    size = F.char_length(line)
+    return {f"_c{i}": size - F.char_length(F.translate(line, g, "")) for i, g in enumerate(GROUPS)}
+
+
+def alike(a: str, b: str) -> Column:
+    """Whether character counts allow EDITS edits."""
+    apart = F.lit(0)
+    for i in range(len(GROUPS)):
+        apart = apart + F.abs(F.col(f"{a}_c{i}") - F.col(f"{b}_c{i}"))
+    return apart <= 2 * EDITS
+
+
 def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """``h`` of distinct lines that have an earlier line within EDITS edits.
 
     lines: h, line of any number of copies; firsts: h, first (place of the
     first copy), one row per distinct line.  Keys are made twice: once to
     count, map-side, which buckets two lines share, and once to keep the rows
-    of those buckets alone."""
+    of those buckets alone.  Pairs whose character counts differ too much are
+    not formed."""
     keyed = segment_keys(lines.select("h", "line"))
     shared = keyed.groupBy("key").agg(F.max("own").alias("_any"), F.min("h").alias("_l"), F.max("h").alias("_u")).where("_any and _l < _u").select("key")
     shared = materialise(shared, "line-buckets")
     members = likely(keyed, shared, "key").groupBy("key", "h").agg(F.max("own").alias("own")).join(shared, "key")
-    placed = materialise(materialise(members, "line-shared").join(firsts.select("h", "first"), "h"), "line-members")
-    ids = materialise(placed.select("h").distinct(), "line-ids")
-    texts = materialise(likely(lines, ids, "h").join(ids, "h", "left_semi").dropDuplicates(["h"]).select("h", "line"), "line-texts")
+    members = materialise(members, "line-shared")
+    ids = materialise(members.select("h").distinct(), "line-ids")
+    # an inner join, for Spark would move a semi join below the bit table
+    texts = materialise(likely(lines, ids, "h").join(ids, "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    facts = let(texts, **char_counts(F.col("line"))).drop("line").join(firsts.select("h", "first"), "h")
+    counts = [f"_c{i}" for i in range(len(GROUPS))]
+    placed = materialise(members.join(materialise(facts, "line-facts"), "h"), "line-members")
     # the earliest entry and the earliest member of every bucket
-    hubs = placed.groupBy("key").agg(F.min(F.when(F.col("own"), F.struct("first", "h"))).alias("_o"), F.min(F.struct("first", "h")).alias("_p"))
-    hubs = materialise(hubs.where("_o is not null").select("key", "_o", "_p"), "line-hubs")
+    each = F.struct("first", "h", *counts)
+    hubs = placed.groupBy("key").agg(F.min(F.when(F.col("own"), each)).alias("_o"), F.min(each).alias("_p"))
+    hubs = materialise(hubs.where("_o is not null").select("key", F.col("_o.first").alias("_of"), F.col("_o.h").alias("_oh"), *(F.col(f"_o.{c}").alias(f"_o{c}") for c in counts), F.col("_p.first").alias("_pf"), F.col("_p.h").alias("_ph"), *(F.col(f"_p.{c}").alias(f"_p{c}") for c in counts)), "line-hubs")
     at = placed.join(hubs, "key")
-    by_entry = at.where(F.col("_o.first") < F.col("first")).select("h", F.col("_o.h").alias("other"))
-    by_probe = at.where(F.col("own") & (F.col("_p.first") < F.col("first"))).select("h", F.col("_p.h").alias("other"))
+    by_entry = at.where((F.col("_of") < F.col("first")) & alike("", "_o")).select("h", F.col("_oh").alias("other"))
+    by_probe = at.where(F.col("own") & (F.col("_pf") < F.col("first")) & alike("", "_p")).select("h", F.col("_ph").alias("other"))
     found = materialise(verified(by_entry.unionByName(by_probe).distinct(), texts), "line-found")
     # lines without a match yet, against all earlier members of their buckets
-    rest = materialise(placed.join(found, "h", "left_anti").join(hubs.select("key", F.col("_o.h").alias("_oh"), F.col("_p.h").alias("_ph")), "key"), "line-rest")
-    other = placed.select("key", F.col("h").alias("other"), F.col("first").alias("_f"), F.col("own").alias("_own"))
-    pairs = rest.join(other, "key").where((F.col("_f") < F.col("first")) & (F.col("own") | F.col("_own")) & (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph"))).select("h", "other").distinct()
+    rest = materialise(placed.join(found, "h", "left_anti").join(hubs.select("key", "_oh", "_ph"), "key"), "line-rest")
+    other = placed.select(F.col("key").alias("_key"), F.col("h").alias("other"), F.col("first").alias("_f"), F.col("own").alias("_own"), *(F.col(c).alias(f"_x{c}") for c in counts))
+    earlier = (F.col("_f") < F.col("first")) & (F.col("own") | F.col("_own")) & (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph"))
+    pairs = rest.join(other, (F.col("key") == F.col("_key")) & earlier & alike("", "_x")).select("h", "other").distinct()
     return found.unionByName(verified(pairs, texts)).distinct()
 
 
