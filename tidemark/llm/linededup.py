@@ -186,7 +186,8 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """``h`` of distinct lines that have an earlier line within EDITS edits.
 
     lines: h, line of any number of copies; firsts: h, first (place of the
-    first copy), one row per distinct line.  Keys are made twice: once to
+    first copy); different lines of one h share the earliest place here, for
+    the texts decide.  Keys are made twice: once to
     count, map-side, which buckets two lines share, and once to keep the rows
     of those buckets alone.  Pairs whose character counts differ too much are
     not formed."""
@@ -198,7 +199,8 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     ids = materialise(members.select("h").distinct(), "line-ids")
     # an inner join, for Spark would move a semi join below the bit table
     texts = materialise(likely(lines, ids, "h").join(ids, "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
-    facts = let(texts, **char_counts(F.col("line"))).drop("line").join(firsts.select("h", "first"), "h")
+    place = likely(firsts.select("h", "first"), ids, "h").groupBy("h").agg(F.min("first").alias("first"))
+    facts = let(texts, **char_counts(F.col("line"))).drop("line").join(place, "h")
     counts = [f"_c{i}" for i in range(len(GROUPS))]
     placed = materialise(members.join(materialise(facts, "line-facts"), "h"), "line-members")
     # the earliest entry and the earliest member of every bucket
@@ -225,11 +227,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     known = materialise(lines.select("h", F.xxhash64(F.lit(7), "line").alias("g"), *ROW, "pos"), "line-places")
     place = F.struct(*ROW, "pos")
     firsts = materialise(known.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("_last")), "line-firsts")
-    # different lines of one 64-bit hash share a place here: the texts decide
-    near = materialise(near_copies(lines.select("h", "line"), firsts.groupBy("h").agg(F.min("first").alias("first"))), "line-near")
+    near = materialise(near_copies(lines.select("h", "line"), firsts), "line-near")
     repeated = materialise(firsts.where("first <> _last").select("h", "g", "first"), "line-repeated")
-    exact = known.join(repeated, ["h", "g"]).where(place > F.col("first")).select(*ROW, "pos", F.lit(True).alias("exact"))
-    fresh = firsts.join(near, "h", "left_semi").select("first.*", F.lit(False).alias("exact"))
+    exact = likely(known, repeated, "h").join(repeated, ["h", "g"]).where(place > F.col("first")).select(*ROW, "pos", F.lit(True).alias("exact"))
+    fresh = likely(firsts, near, "h").join(near, "h").select("first.*", F.lit(False).alias("exact"))
     return exact.unionByName(fresh)
 
 
