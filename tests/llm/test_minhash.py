@@ -106,6 +106,20 @@ def test_samples_estimate_weighted_jaccard():
         assert abs(np.mean(hits)) < 0.03
 
 
+def test_word_hashes(monkeypatch):
+    """Words alone, together, in small parts, of any length: the same hashes."""
+    words = ["a", "b", "ab", "ba", "é漢字", "x" * 5000, "aa", "aaa", "\x00", "0"]
+    alone = [minhash.hashed_words([w])[0].tolist() for w in words]
+    assert all(len(h) == 1 for h in alone) and len({h[0] for h in alone}) == len(words)
+    texts = [" ".join(words), "", " \n", "\t".join(words[::-1]) + "\x0b", words[3].upper()]
+    for part in (minhash.PART, 7):
+        monkeypatch.setattr(minhash, "PART", part)
+        flat, n = minhash.hashed_words(texts)
+        assert n.tolist() == [10, 0, 0, 10, 1]
+        assert flat.tolist() == [h[0] for h in alone + alone[::-1] + [alone[3]]]
+    assert minhash.hashed_words([])[0].tolist() == minhash.hashed_words([""])[0].tolist() == []
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8)], [(9, 1), (9, 2), (9, 3), (4, 5)], [], [(i, i + 1) for i in range(1, 60)], [(2, 1), (1, 2), (3, 3)]])
 def test_components(spark, edges):
     nodes = spark.createDataFrame([(i,) for i in range(1, 61)], "id bigint")

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,39 +40,67 @@ BLOCK = 1 << 14
 
 
 # -- texts to shingles ---------------------------------------------------------
-class Digests(dict):
-    """Words to eight bytes of hash; two generations bound the size."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = xxhash.xxh3_64_digest(word)
-        self[word] = found
-        return found
-
-
-_DIGESTS = Digests()
 HASH_BITS = 44  # of a shingle: the other 20 bits of a sort key number the texts
 #: Odd multipliers of a window's words.
 STEPS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1) for k in range(SHINGLE)]
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+PART = 1 << 18
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse modulo 2**64 to the powers 0 .. n - 1."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = []
+        for x in (BASE, pow(BASE, -1, 1 << 64)):
+            row = np.full(max(n, PART + 1024), x, np.uint64)
+            row[0] = 1
+            made.append(np.multiply.accumulate(row))
+        if n > 4 * PART:  # a very long word: not kept
+            return made[0], made[1]
+        _POWERS[:] = made
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of some UTF-8 bytes: a polynomial of its
+    bytes modulo 2**64, as a difference of running sums, then mixed."""
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = np.r_[[0] if not blank[0] else [], edges, [len(data)] if not blank[-1] else []].astype(np.int64)
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(data, up[: len(data)], out=sums[1:], dtype=np.uint64, casting="unsafe")
+    np.cumsum(sums, out=sums)
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return starts, mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all lower-case words one after another, words per text)."""
-    _DIGESTS.turn()
-    words = [t.lower().split() for t in texts]
-    look = _DIGESTS.__getitem__
-    flat = np.frombuffer(b"".join([x for ws in words for x in map(look, ws)]), "<u8").astype(np.uint64)
-    return flat, np.array([len(w) for w in words], np.int64)
+    """(hashes of all lower-case words one after another, words per text).
+    Bytes are taken in parts that end at white space, so a long text needs no
+    more memory than its words."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join(raw)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(data):
+        end = at + PART
+        if end < len(data):
+            m = NEXT_BLANK.search(data, end)
+            end = m.start() if m else len(data)
+        starts, h = word_hashes(np.frombuffer(data[at:end], np.uint8))
+        found.append((starts + at, h))
+        at = end
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    starts = np.concatenate([f[0] for f in found])
+    return np.concatenate([f[1] for f in found]), np.diff(np.searchsorted(starts, bounds))
 
 
 def shingled(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
