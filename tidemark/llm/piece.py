@@ -247,6 +247,9 @@ def encode_texts(docs: DataFrame, model: str, keep: list[str] | None = None) ->
                 cut = batch.slice(low, len(texts))
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(cut.column(k) for k in keep), flat, pa.array([tool.model.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
+        # other stages follow in the same worker: it keeps no words for them
+        tool.cache.clear()
+        tool.cache.old = {}
 
     source = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
     types = dict(source.dtypes)
