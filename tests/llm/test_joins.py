@@ -128,6 +128,20 @@ def test_stage_rules(spark):
     assert linededup.report(df.limit(0)).count() == 0 and linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """The query finds equal lines of any length, near ones from 8 code points on."""
+    from corpus_pipeline import line_dedup
+    from tidemark.llm.queries import op7_line_dedup
+
+    rows = [(1, "OK\nRead more\nLe.\nx\nfirst"), (2, " Read more\t\nAs.\nRead mores\nx\n\n"), (3, "OK\n请点击这里阅读全文吧\n请点击此处阅读全文吧"), (4, "Le.\nRead"), (5, "OK")]
+    df = docs(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_exact, r.n_near) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 0), 2: (2, 1), 3: (1, 1), 4: (1, 0), 5: (1, 0)}
+    kept = {r.doc_id: r.text for r in line_dedup(spark, df, "").collect()}
+    assert kept == {1: rows[0][1], 2: "As.\n\n", 3: "请点击这里阅读全文吧", 4: "Read"}
+
+
 # -- lattice ----------------------------------------------------------------------------
 def plain_links(rows):
     good = {}

@@ -24,6 +24,11 @@ from tidemark.session import materialise, scope
 
 EDITS = 2
 MIN_CHARS = 20
+#: The query and the pipeline take lines from these lengths on.  An equal line
+#: needs no join, so every line with a word counts.  Below 8 code points two
+#: edits turn words into other words ('Le.' into 'As.'), not into near copies.
+EXACT_FROM = 1
+NEAR_FROM = 8
 FILTER_LOG = 24
 FILTER_BITS = 1 << FILTER_LOG
 #: Groups of characters whose counts are compared before texts are.
@@ -139,11 +144,11 @@ def let(df: DataFrame, **named: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """_d, _t, pos, line (trimmed), h of the lines that count: MIN_CHARS code
-    points at least."""
+def lines_of(docs: DataFrame, shortest: int) -> DataFrame:
+    """_d, _t, pos, line (trimmed), h of the lines that count: ``shortest``
+    code points at least."""
     each = with_row(docs).select(*ROW, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "_l"))
-    lines = let(each, line=F.trim(F.col("_l"), F.lit(TRIM))).where(F.char_length("line") >= MIN_CHARS)
+    lines = let(each, line=F.trim(F.col("_l"), F.lit(TRIM))).where(F.char_length("line") >= shortest)
     return let(lines, h=F.xxhash64("line")).select(*ROW, "pos", "line", "h")
 
 
@@ -219,25 +224,26 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return found.unionByName(verified(pairs, texts)).distinct()
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
     """_d, _t, pos, exact of every line that goes: ``exact`` if an equal line
-    came earlier, else a near one did."""
-    lines = lines_of(docs)
+    came earlier, else a near one did.  Equal lines have ``exact_from`` code
+    points at least, near ones ``near_from`` (not less than EDITS + 1)."""
+    lines = lines_of(docs, exact_from)
     # equality is decided on 128 bits of hash
     known = materialise(lines.select("h", F.xxhash64(F.lit(7), "line").alias("g"), *ROW, "pos"), "line-places")
     place = F.struct(*ROW, "pos")
     firsts = materialise(known.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("_last")), "line-firsts")
-    near = materialise(near_copies(lines.select("h", "line"), firsts), "line-near")
+    near = materialise(near_copies(lines.where(F.char_length("line") >= near_from).select("h", "line"), firsts), "line-near")
     repeated = materialise(firsts.where("first <> _last").select("h", "g", "first"), "line-repeated")
     exact = likely(known, repeated, "h").join(repeated, ["h", "g"]).where(place > F.col("first")).select(*ROW, "pos", F.lit(True).alias("exact"))
     fresh = likely(firsts, near, "h").join(near, "h").select("first.*", F.lit(False).alias("exact"))
     return exact.unionByName(fresh)
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
     """``docs`` with _exact and _near: positions of the lines that go."""
     with scope(docs.sparkSession) as keep:
-        per = decisions(docs.select("doc_id", "text")).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("_exact"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("_near"))
+        per = decisions(docs.select("doc_id", "text"), exact_from, near_from).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("_exact"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("_near"))
         per = keep(per, "line-drops")
     empty = F.array().cast("array<int>")
     joined = with_row(docs).join(per, list(ROW), "left")
@@ -251,10 +257,10 @@ def cleaned_text() -> Column:
     return F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out; rows that lose lines and have
     no word left go, all other rows stay."""
-    done = marked(docs).withColumn("text", cleaned_text())
+    done = marked(docs, exact_from, near_from).withColumn("text", cleaned_text())
     lost = F.size("_exact") + F.size("_near") > 0
     blank = F.trim(F.col("text"), F.lit(TRIM)) == ""
     out = done.where(~(lost & F.coalesce(blank, F.lit(True)))).drop("_exact", "_near")
@@ -263,9 +269,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_chars_kept, kept_sha256 of every row."""
-    done = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    done = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), exact_from, near_from)
     text = F.coalesce(cleaned_text(), F.lit(""))
     return done.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.size("_exact").cast("bigint").alias("n_exact"), F.size("_near").cast("bigint").alias("n_near"),

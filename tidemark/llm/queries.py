@@ -47,7 +47,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.EXACT_FROM, linededup.NEAR_FROM)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
