@@ -177,6 +177,28 @@ def test_licenses(spark, sf):
     assert all(name in by[20000 + i].split(",") for i, name in enumerate(licenses.TEMPLATES))
 
 
+def test_license_families(spark):
+    """Names after any verb, versions, tags and families, in wordings apart from the templates'."""
+    cases = [
+        ("This tool is released under the terms of the MIT license.", "mit"),
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "bsd-3-clause,gpl-2.0"),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later.", "lgpl-2.1"),
+        ("Code is made available subject to Apache License, version 2.0 only", "apache-2.0"),
+        ("Photo: Jo, see https://creativecommons.org/licenses/by-nc-nd/3.0/ for terms", "cc-by-nc-nd-3.0"),
+        ("THE PROGRAM comes with the GNU Affero General Public License, version 3", "agpl-3.0"),
+        ("This file is part of X. X is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. X is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.", "lgpl-2.1"),
+        (licenses.TEMPLATES["agpl-3.0:notice"], "agpl-3.0"),
+        (licenses.TEMPLATES["gpl-3.0:notice"], "gpl-3.0"),
+        ("* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3-clause"),
+        ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "bsl-1.0"),
+        ("a spdx licence identifier of no kind, and a general license", ""),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_licenses) for r in licenses.report(docs(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert {i: got[i][0] for i in got} == {i: w for i, (_, w) in enumerate(cases)}
+    assert all(n == len([x for x in ids.split(",") if x]) for ids, n in got.values())
+
+
 def test_windows_hold_every_occurrence():
     for n in range(1, 200):
         size = licenses.size_class(n)
