@@ -39,13 +39,14 @@ RULES = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
     Rule("hex", r"[0-9a-f]+", 24, 0, True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,200}"),
+    # to the END line; without one, over the whole lines of base64 that follow
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:[\x20\x09-\x0D]*+[A-Za-z0-9+/=]{40,}+)*+)"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,200}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}"),
-    Rule("login", r"""[a-z][a-z0-9+.-]{1,15}://[^/\x20\x09-\x0D:@"'<>]{1,64}:[^/\x20\x09-\x0D:@"'<>]{1,64}@"""),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    Rule("login", r"""[a-z][a-z0-9+.-]{1,15}://[^/\x20\x09-\x0D:@"'<>]++:[^/\x20\x09-\x0D:@"'<>]++@"""),
 ]
 
 
