@@ -49,6 +49,24 @@ def test_blocks(page, blocks):
     assert [b.text for b in html_text.blocks_of(page)] == blocks
 
 
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        ("<p>a <svg-icon name='x'></svg-icon> b</p><p>c</p>", ["a b", "c"]),
+        ("<object-viewer src=q></object-viewer><p>c", ["c"]),
+        ("<p>a<svg class='i' href='a>b/'/>b</p><svg/><p>c</p><svg><text>no</text></svg>d", ["ab", "c", "d"]),
+        ("<p>a<math/>b</p><p>so <math display='block'><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["ab", "so x=2 holds"]),
+        ("<html><head><title>t</title><meta charset=x><link rel=y><p>a</p><p>b</p>", ["a", "b"]),
+        ("<head><title>a <b>t</b></title><script>x</script>\n<a href='/'>link</a> and text<div>b</div>", ["link and text", "b"]),
+        ("<head><title>t</title>bare text", ["bare text"]),
+        ("<head><title>t</title><base href=x></head><body><p>a", ["a"]),
+    ],
+)
+def test_blocks_that_were_lost(page, blocks):
+    assert [b.text for b in html_text.blocks_of(page)] == blocks
+    assert all("head" not in b.path for b in html_text.blocks_of(page))
+
+
 def test_boilerplate_kinds_go():
     prose = "Over the hill the river bends and the old mill stands near it. Nobody has lived there for years."
     page = (

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Bounded, groups, map_arrow
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|math|object)\b(?:"[^"]*"|'[^']*'|[^>"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'/]|/(?!>))*+/>"""
+    r"""|<(?P<raw>script|style|noscript|template|svg|iframe|object)(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)""",
     re.S | re.I,
@@ -33,6 +34,8 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What can lie in a head; anything else ends it, whether or not </head> comes.
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: An opening element ends these open ones, up to the nearest listed container.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 FENCE = frozenset("article aside blockquote body div dl fieldset figure footer form header main nav ol section table td th ul".split())
@@ -59,7 +62,8 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order: text between block-level tags, character
     references decoded, white space as one blank, empty ones left out.
-    Scripts, styles, comments and the head never get that far."""
+    Scripts, styles, comments and the head never get that far; the head ends
+    at its end tag or at the first text or element that cannot lie in it."""
     out: list[Block] = []
     if not page:
         return out
@@ -78,9 +82,23 @@ def blocks_of(page: str | None) -> list[Block]:
             held.clear()
         linked.clear()
 
+    def leave_head() -> None:
+        nonlocal in_head
+        flush()
+        in_head = False
+        for i, (tag, _) in enumerate(stack):
+            if tag == "head":
+                del stack[i:]
+                break
+
+    def ends_head(piece: str) -> bool:
+        return bool(stack) and stack[-1][0] == "head" and not piece.isspace()
+
     for m in TAG.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
+            if in_head and ends_head(piece):
+                leave_head()
             held.append(piece)
             if links:
                 linked.append(piece)
@@ -89,6 +107,9 @@ def blocks_of(page: str | None) -> list[Block]:
         if name is None:  # comment, script, declaration
             continue
         name = name.lower()
+        # in a title, inline elements are text
+        if in_head and not ends and name not in HEAD and (name in BLOCK or not stack or stack[-1][0] != "title"):
+            leave_head()
         if name == "a":
             links = max(0, links - 1) if ends else links + 1
         if name == "br":
@@ -105,8 +126,6 @@ def blocks_of(page: str | None) -> list[Block]:
             if name == "head":
                 in_head = False
             continue
-        if name == "body":
-            in_head = False
         gone = CLOSES.get(name) or ({"p"} if name in FENCE or name[0] == "h" else None)
         if gone:
             for i in range(len(stack) - 1, -1, -1):
@@ -118,6 +137,8 @@ def blocks_of(page: str | None) -> list[Block]:
             in_head = True
         if name not in VOID:
             stack.append((name, _names(name, m["attrs"] or "")))
+    if in_head and page[at:] and ends_head(page[at:]):
+        leave_head()
     held.append(page[at:])
     flush()
     return out
