@@ -72,6 +72,22 @@ def test_policy_follows_the_labels(spark):
     assert facts.get((0, True), 0) <= 0.1 * facts[0, False]
 
 
+def test_few_distinct_words_at_any_length(spark):
+    """Words drawn from a hundred go at every length, long texts with a vocabulary stay."""
+    r = random.Random(8)
+    few = [(n, " ".join(f"word{r.randrange(60 if n < 2000 else 100):02d}x" for _ in range(n))) for n in (1999, 2001, 5000, 20000, 60000)]
+    wide = [(-n, " ".join(f"term{r.randrange(n // 4)}x" for _ in range(n))) for n in (2001, 20000, 60000)]
+    kept = {x.doc_id for x in quality.filter_rejected(docs(spark, few + wide)).collect()}
+    assert kept == {2001 * -1, -20000, -60000}
+    rule = {x.name: x.fails.replace("AND", "and") for x in quality.RULES}
+    for n in range(1, 2000):  # below the old cut-off nothing changes
+        for d in range(max(1, n // 20 - 2), n // 20 + 3):
+            facts = {"n_words": n, "n_distinct_words": d}
+            assert eval(rule["few_distinct_words"], {}, facts) == eval(rule["few_distinct_words_any_length"], {}, facts)
+    # earlier versions keep their masks
+    assert quality.POLICIES["v2"] == 0b011111111111 and quality.POLICIES["strict"] == 0b111111111111
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).limit(0)
     assert quality.ledger(none).count() == 0 and quality.ablations(quality.ledger(none)).count() == 0

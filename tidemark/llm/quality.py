@@ -44,17 +44,22 @@ RULES = [
     Rule(9, "ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
     Rule(10, "bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
     Rule(11, "many_words", "n_words > 100000"),
+    # as rule 8 below 2000 words, where both bounds meet; from there on the square root of the words
+    Rule(12, "few_distinct_words_any_length", "20 * n_distinct_words < n_words AND n_distinct_words * n_distinct_words < 5 * n_words"),
 ]
 BIT = {r.name: 1 << r.bit for r in RULES}
 BASE = BIT["few_words"] | BIT["repeated_words"]
+#: Rules 0 to 11, which v2 and strict were made of.
+FIRST_RULES = (1 << 12) - 1
 #: Policies are only ever added; a version never changes its mask.
 POLICIES = {
     "base": BASE,
     "v1": BASE | BIT["symbols"] | BIT["short_words"] | BIT["long_words"] | BIT["capitals"] | BIT["no_letters"],
-    "v2": sum(BIT.values()) & ~BIT["many_words"],
-    "strict": sum(BIT.values()),
+    "v2": FIRST_RULES & ~BIT["many_words"],
+    "strict": FIRST_RULES,
+    "v3": FIRST_RULES & ~BIT["many_words"] & ~BIT["few_distinct_words"] | BIT["few_distinct_words_any_length"],
 }
-CURRENT = "v2"
+CURRENT = "v3"
 BULLETS = ("•", "-", "*", "‣", "◦", "–")
 
 
