@@ -90,7 +90,23 @@ def test_empty_repeated_and_extra_columns(spark, texts):
     assert minhash.near_duplicates(empty).count() == 0
     t = texts.text(60)
     df = spark.createDataFrame([(1, t, "x", 1), (1, t, "y", 2), (2, t, None, 3), (None, t, None, 4)], "doc_id bigint, text string, key string, h int")
-    assert sorted(tuple(r) for r in minhash.near_duplicates(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+    got = Counter(tuple(r) for r in minhash.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 1, True), (1, 1, 1, False), (2, 1, 1, False), (None, 1, 1, False)])
+    assert minhash.drop_duplicates(empty).columns == empty.columns
+
+
+def test_rows_that_share_a_doc_id(spark, texts):
+    """Unlike texts under one number, or under none, are all compared."""
+    a, b, c, d = (texts.text(60) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (2, a), (2, b), (None, a), (2, b), (None, c), (None, c), (3, c + " "), (5, d), (4, near), (6, ""), (6, ""), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, _d int")
+    got = minhash.near_duplicates(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    kept = Counter(tuple(r)[:2] for r in minhash.drop_duplicates(df).collect())
+    assert kept == Counter([(1, a), (2, b), (3, c + " "), (5, d), (6, ""), (6, ""), (None, None)])
+    assert Counter(r.doc_id for r in got if r.kept) == Counter(k[0] for k in kept.elements())
+    assert {r.component_id for r in got if r.doc_id == 4} == {1}
 
 
 def test_samples_estimate_weighted_jaccard():

@@ -30,6 +30,20 @@ def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` behind a prefix with which no column of ``df`` begins, so
+    that helper columns never meet the caller's."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) slices of at most ``limit`` characters, one text at least;
     null becomes the empty text."""

@@ -21,10 +21,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, groups, map_arrow, mix64
+from tidemark.llm.common import components, fresh_names, groups, map_arrow, mix64, quoted
 from tidemark.session import materialise, scope
 
 SHINGLE = 5
@@ -145,27 +145,31 @@ def slot(h: np.ndarray) -> np.ndarray:
 
 
 # -- document frequencies -------------------------------------------------------
+def text_keys(flat: np.ndarray, words: np.ndarray) -> list[bytes | None]:
+    """A 128-bit key of each text's words; null where there is none."""
+    ends = np.cumsum(words)
+    return [hashlib.blake2b(flat[e - w : e].tobytes(), digest_size=16).digest() if w else None for w, e in zip(words.tolist(), ends.tolist(), strict=True)]
+
+
 def _count(batches):
     """Key of each text; at the end of the task its counters, in chunks."""
     counters = np.zeros(1 << DF_BITS, np.uint32)
-    names = ["doc_id", "key", "n_shingles", "chunk", "data"]
+    names = ["doc_id", "t", "u", "key", "chunk", "data"]
     for batch in batches:
-        ids = batch.column("doc_id")
         for low, texts in groups(batch.column("text").to_pylist(), GROUP):
             flat, words = hashed_words(texts)
-            h, owner, _ = shingled(flat, words)
+            h, _, _ = shingled(flat, words)
             np.add.at(counters, slot(h), np.uint32(1))
-            n = np.bincount(owner, minlength=len(texts))
-            ends = np.cumsum(words)
-            keys = [hashlib.blake2b(flat[e - w : e].tobytes(), digest_size=16).digest() if w else None for w, e in zip(words.tolist(), ends.tolist(), strict=True)]
             k = len(texts)
-            yield pa.RecordBatch.from_arrays([ids.slice(low, k), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            own = [batch.column(c).slice(low, k) for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(text_keys(flat, words), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     for c in range(len(counters) // CHUNK):
         part = counters[c * CHUNK : (c + 1) * CHUNK]
         top = int(part.max())
         if top:
             kind = "<u1" if top < 256 else "<u2" if top < 65536 else "<u4"
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], names)
+            none = [pa.nulls(1, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.binary()), pa.array([c], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], names)
 
 
 def _add(batches):
@@ -278,27 +282,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, mean_idf, size, bands of every text that has words."""
+    """key, mean_idf, size, bands of every text that has words.  All four
+    depend on the words alone: texts of one key have one sketch."""
 
     def run(batches):
         table = levels.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            for low, texts in groups(batch.column("text").to_pylist(), GROUP):
-                h, owner, count = shingles(texts)
+            for _, texts in groups(batch.column("text").to_pylist(), GROUP):
+                flat, words = hashed_words(texts)
+                h, owner, count = shingled(flat, words)
                 if not len(h):
                     continue
+                named = pa.array(text_keys(flat, words), pa.binary())
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 w = count * (g := idf(h, table))
                 keys = band_keys(signatures(h, np.log(w), starts))
                 mean = np.add.reduceat(g, starts) / np.diff(np.r_[starts, len(h)])
                 size = np.add.reduceat(w, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(low + owner[starts])), pa.array(mean, pa.float64()), pa.array(size, pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
-                    ["doc_id", "mean_idf", "size", "bands"],
+                    [named.take(pa.array(owner[starts])), pa.array(mean, pa.float64()), pa.array(size, pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
+                    ["key", "mean_idf", "size", "bands"],
                 )
 
-    return map_arrow(docs, run, "doc_id bigint, mean_idf double, size double, bands array<bigint>")
+    return map_arrow(docs.select("text"), run, "key binary, mean_idf double, size double, bands array<bigint>")
 
 
 # -- verification -----------------------------------------------------------------
@@ -327,22 +333,23 @@ def weighted_jaccards(left: list[str], right: list[str], table: np.ndarray) -> l
     return out
 
 
-def member_filter(spark, ids: DataFrame) -> bytes:
-    """A bitmap of 2 MB that holds the hash of every id: it never misses one,
-    and its size does not depend on their number."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # the functions count from 1
-    bits = ids.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
+def member_filter(hashes: DataFrame) -> bytes:
+    """A bitmap of 2 MB that holds every hash of column ``h``: it never misses
+    one, and its size does not depend on their number."""
+    at = F.pmod("h", F.lit(FILTER_BITS)) + 1  # the functions count from 1
+    bits = hashes.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
     out = bytearray(FILTER_BITS // 8)
     for k, b in bits.collect():
         out[(k - 1) * 4096 : (k - 1) * 4096 + len(b)] = b
     return bytes(out)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the wanted ids, written out.  A bitmap drops most other
-    rows before the join, so texts that no pair needs are not shuffled."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(np.frombuffer(member_filter(spark, ids), np.uint8))
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted rows (id, NAME), written out.  A bitmap drops
+    most other rows before the join, so texts that no pair needs are not
+    shuffled."""
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(np.frombuffer(member_filter(wanted.select(F.xxhash64(*NAME).alias("h"))), np.uint8))
 
     def keep(batches):
         for batch in batches:
@@ -350,9 +357,12 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
             yield batch.filter(pa.array(hit.astype(bool)))
 
-    source = docs.select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    likely = map_arrow(source, keep, "id bigint, text string, p bigint").drop("p")
-    return materialise(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    source = rows.select(*NAME, "text", F.pmod(F.xxhash64(*NAME), F.lit(FILTER_BITS)).alias("p"))
+    likely = map_arrow(source, keep, "d bigint, t bigint, u bigint, text string, p bigint").drop("p")
+    # rows of one name hold one text
+    found = materialise(likely.join(wanted, list(NAME)).groupBy("id").agg(F.min("text").alias("text")), "texts")
+    held.destroy()
+    return found
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
@@ -417,9 +427,10 @@ def stray_pairs(rest: DataFrame, everyone: DataFrame) -> DataFrame:
     return joined.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
-def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFrame:
+def candidate_links(members: DataFrame, rows: DataFrame, classes: DataFrame, levels) -> DataFrame:
     """(a, b) verified links that connect every component of the candidate
-    graph: members has id, mean_idf, size (weight), band (a bucket's key).
+    graph: members has id, mean_idf, size (weight), band (a bucket's key);
+    classes says which of the rows holds each id's text.
 
     In every bucket all members are compared with its hub, the member with
     the commonest shingles.  Members that are not connected with their hub
@@ -427,7 +438,7 @@ def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFr
     linked with.
     """
     ids = materialise(members.select("id").distinct(), "ids")
-    texts = texts_of(texts_from, ids)
+    texts = texts_of(rows, classes.join(ids, "id").select("id", *NAME))
     hubs = members.groupBy("band").agg(F.min(F.struct("mean_idf", "id", "size")).alias("h"))
     hubs = materialise(hubs.select("band", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size")), "hubs")
     placed = materialise(members.join(hubs, "band").select("band", "id", "size", "hub", "hub_size", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), "placed")
@@ -452,29 +463,92 @@ def candidate_links(members: DataFrame, texts_from: DataFrame, levels) -> DataFr
     return materialise(links.unionByName(more).distinct(), "links")
 
 
+#: A row's name: its doc_id (the smallest number where null) and 128 bits of
+#: its text.  Rows of one name hold one text under one doc_id.
+NAME = ("d", "t", "u")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, NAME, text of every row; a null text becomes the empty one."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select("doc_id", *name_columns(), "text")
+
+
+def name_columns() -> list[Column]:
+    """NAME from columns doc_id and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(7), text).alias("u")]
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, NAME, class_id, component_id, kept of every row of ``docs``, to
+    be called in a ``scope``.
+
+    Rows with the same words are one class under a number of its own, whatever
+    their doc_ids; classes are sketched and compared.  A component's first row
+    (smallest doc_id, null last, then the text's hash) is the one that is kept.
+    """
+    context = docs.sparkSession.sparkContext
+    rows = named(docs)
+    counted = map_arrow(rows.select("doc_id", "t", "u", "text"), _count, "doc_id bigint, t bigint, u bigint, key binary, chunk int, data binary")
+    # numbers are given as rows are written: equal rows stay apart
+    counted = materialise(counted.withColumn("n", F.monotonically_increasing_id()), "keys")
+    keys = counted.where("chunk is null").drop("chunk", "data")
+    first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "u", "n")
+    classes = keys.where("key is not null").groupBy("key").agg(F.min(first).alias("first"))
+    d = F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("d")
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first", d, "first.t", "first.u"), "classes")
+    levels = context.broadcast(idf_levels(counted, keys.count()))
+    sketches = sketch(rows, levels).groupBy("key").agg(F.min(F.struct("mean_idf", "size", "bands")).alias("s"))
+    exploded = classes.select("id", "key").join(sketches, "key").select("id", "s.mean_idf", "s.size", F.explode("s.bands").alias("band"))
+    exploded = materialise(exploded, "bands")
+    crowded = materialise(exploded.groupBy("band").agg(F.min("id").alias("_l"), F.max("id").alias("_u")).where("_l < _u").select("band"), "crowded")
+    members = materialise(exploded.join(crowded, "band").distinct(), "members")
+    links = candidate_links(members, rows, classes, levels)
+    levels.destroy()
+    parts = classes.select("id", "key", "first").join(components(classes.select("id"), links, "id"), "id")
+    parts = materialise(parts, "class-parts")
+    least = parts.groupBy("component").agg(F.min("first").alias("least"))
+    facts = parts.join(least, "component").select("key", F.col("first.doc_id").alias("c"), F.col("least.doc_id").alias("p"), F.col("least.n").alias("k"))
+    worded = F.col("key").isNotNull()
+    return keys.join(materialise(facts, "class-facts"), "key", "left").select(
+        "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "t", "u",
+        F.when(worded, F.col("c")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("p")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(worded, F.col("n") == F.col("k")).otherwise(F.lit(True)).alias("kept"),
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), component_id
-    (smallest doc_id reachable by links), kept (it is that doc_id).
-
-    One row per doc_id; rows without doc_id are left out.  Rows that share a
-    doc_id are one document, compared by its smallest text.  Texts without words, null ones too, link with nothing.
+    (smallest doc_id reachable by links), kept (one row of each component).
+
+    One row per row of ``docs``, whatever its doc_id: each distinct text is
+    compared, rows without a doc_id and rows that share one too.  Where rows
+    share a doc_id or have none, class_id and component_id may be shared by
+    unlike texts or null; ``kept`` still names one row of each component: the
+    smallest doc_id (null last), among rows that share it one of the text with
+    the smallest hash.  Texts without words, null ones too, link with nothing
+    and are kept.  Texts may be of any length; other columns are not read.
     """
     with scope(docs.sparkSession) as keep:
-        spark = docs.sparkSession
-        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-        first = materialise(map_arrow(docs, _count, "doc_id bigint, key binary, n_shingles bigint, chunk int, data binary"), "keys")
-        keys = first.where("chunk is null").groupBy("doc_id").agg(F.min("key").alias("key"))
-        keys = materialise(keys, "doc-keys")
-        classes = materialise(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
-        levels = spark.sparkContext.broadcast(idf_levels(first, keys.count()))
-        reps = classes.select(F.col("class_id").alias("doc_id"))
-        sketches = sketch(docs, levels).join(reps, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("mean_idf", "size", "bands")).alias("_s")).select("id", "_s.*")
-        exploded = materialise(sketches.select("id", "mean_idf", "size", F.explode("bands").alias("band")), "bands")
-        crowded = materialise(exploded.groupBy("band").agg(F.min("id").alias("_l"), F.max("id").alias("_u")).where("_l < _u").select("band"), "crowded")
-        members = materialise(exploded.join(crowded, "band").distinct(), "members")
-        links = candidate_links(members, docs, levels)
-        parts = components(reps.select(F.col("doc_id").alias("id")), links, "id")
-        of_class = materialise(classes.join(parts.select(F.col("id").alias("class_id"), "component"), "class_id"), "class-parts")
-        placed = keys.join(of_class, "key", "left")
-        own = F.coalesce("component", "doc_id")
-        return keep(placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept")), "near-duplicates")
+        return keep(judged(docs).select("doc_id", "class_id", "component_id", "kept"), "near-duplicates")
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: the one that
+    ``near_duplicates`` keeps.  Rows equal in doc_id and text count as copies
+    of each other, of which one stays (the first by its other columns'
+    JSON); rows without words stay as they are."""
+    d, t, u, odd = names = fresh_names(docs, "d", "t", "u", "odd")
+    with scope(docs.sparkSession) as keep:
+        per = judged(docs).groupBy(*NAME).agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+        # 1: no row stays, 2: one of several
+        per = keep(per.where("not all").select(*(F.col(c).alias(n) for c, n in zip(NAME, names, strict=False)), F.when(F.col("some"), 2).otherwise(1).alias(odd)), "near-gone")
+    rows = docs.select("*", *(c.alias(n) for c, n in zip(name_columns(), names, strict=False)))
+    out = rows.join(per, [d, t, u], "left_anti").select(*map(quoted, docs.columns))
+    several = per.where(F.col(odd) == 2)
+    if several.isEmpty():
+        return out
+    whole = F.struct(*map(quoted, docs.columns))
+    one = rows.join(several, [d, t, u]).groupBy(d, t, u).agg(F.min_by(whole, F.to_json(whole)).alias(odd))
+    return out.unionByName(one.select(f"{odd}.*"))
