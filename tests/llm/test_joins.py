@@ -204,6 +204,57 @@ def test_lattice_against_all_pairs(spark, sf):
     assert {r.vec_id: tuple(r) for r in lattice.near_duplicates(df).collect()} == plain_links(rows)
 
 
+def test_large_groups_of_near_copies(spark):
+    """Cores, strays around them and links between cores, against all pairs."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for spread, size in ((0.05, 400), (0.17, 300), (0.25, 150), (0.32, 60)):
+        base = unit(rng, 32)
+        w = rng.normal(size=(size, 32))
+        w -= (w @ base)[:, None] * base
+        rows += list(base + spread * rng.uniform(0.7, 1.3, (size, 1)) * w / np.linalg.norm(w, axis=1, keepdims=True))
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= lattice.THRESHOLD
+    label = np.arange(len(x))
+    while (new := np.where(hit, label, len(x)).min(1)).tolist() != label.tolist():
+        label = new
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in lattice.near_duplicates(df).collect()}
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+    want, have = hit.sum(1) - 1, np.array([got[i].n_links for i in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.995 * want.sum()
+    tight = slice(0, 700)  # cores count every link
+    assert (have[tight] == want[tight]).all()
+
+
+def test_vectors_that_share_an_id(spark):
+    x, y, z = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]
+    rows = [(1, x), (1, y), (None, x), (2, y), (None, z), (None, None), (3, [0.0, 0.0]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id bigint, embedding array<double>, id int")
+    got = Counter(tuple(r) for r in lattice.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, False), (2, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True)])
+    assert lattice.near_duplicates(df.limit(0)).columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_spanning_labels():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        hit = rng.random((12, 9)) < 0.12
+        left, right = lattice.spanning(hit)
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            assert left[i] == right[j]
+        assert (left[~hit.any(1)] == -1).all() and (right[~hit.any(0)] == -1).all()
+        for group in set(left[left >= 0]):
+            seen, more = {("l", group)}, [("l", group)]
+            while more:
+                side, k = more.pop()
+                near = [("r", j) for j in np.flatnonzero(hit[k])] if side == "l" else [("l", i) for i in np.flatnonzero(hit[:, k])]
+                more += [n for n in near if n not in seen]
+                seen.update(near)
+            assert {i for s, i in seen if s == "l"} == set(np.flatnonzero(left == group))
+
+
 def test_recall_at_the_threshold():
     """Own cells of one side against probes of the other."""
     rng = np.random.default_rng(1)

@@ -14,13 +14,17 @@ from tidemark.session import materialise, scope, ship_package
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BATCH_ROWS = 512
+MAX_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts handled together in numpy hold about so many characters.
 GROUP_CHARS = 1 << 21
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches are counted in rows; texts can be long, so few rows each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session in rows, for texts can be long;
+    Spark bounds their bytes.  A bound that the caller has set lower stays."""
+    held = int(spark.conf.get(MAX_ROWS))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(MAX_ROWS, str(BATCH_ROWS))
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
