@@ -16,9 +16,9 @@ def merged(spark, leader, follower):
 
 
 @pytest.mark.parametrize("matches,want", [([5], 5), ([5, 3], 3), ([9, 7, 5], 7), ([9, 7, 5, 1], 5), ([9, 8, 7, 2, 1], 7)])
-def test_quorum_index(spark, matches, want):
+def test_majority_index(spark, matches, want):
     df = spark.createDataFrame([(1, str(i), m) for i, m in enumerate(matches)], "group_id int, peer string, match_idx bigint")
-    assert replica.quorum_index(df).head().quorum_idx == want
+    assert replica.majority_index(df).head().majority_idx == want
 
 
 def test_only_current_terms_commit(spark):

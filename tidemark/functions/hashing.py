@@ -12,30 +12,35 @@ MASK32 = 4294967295
 
 
 def _octets(data: Column) -> Column:
-    """The bytes of a BINARY column as an array of BIGINT; empty for b''."""
-    size = F.octet_length(data)
-    one = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
-    # sequence(1, 0) counts down, hence the guard
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), one)).otherwise(F.array().cast("array<bigint>"))
+    """The bytes of a BINARY column as an array of INT; empty for b''.
 
+    ISO-8859-1 has one code point a byte, so characters are bytes."""
+    chars = F.split(F.decode(data, "ISO-8859-1"), "")
+    return F.when(F.octet_length(data) > 0, F.transform(chars, F.ascii)).otherwise(F.array().cast("array<int>"))
+
+
+def fnv_pair(data: Column) -> Column:
+    """struct(h1, h2): FNV-1a and FNV-1, 32 bits, of a BINARY column, in one
+    pass over its bytes."""
 
-def _fnv(data: Column, xor_first: bool) -> Column:
     def step(h: Column, byte: Column) -> Column:
-        if xor_first:
-            return (h.bitwiseXOR(byte) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32))
-        return (h * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32)).bitwiseXOR(byte)
+        wide = byte.cast("bigint")
+        h1 = (h["h1"].bitwiseXOR(wide) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32))
+        h2 = (h["h2"] * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32)).bitwiseXOR(wide)
+        return F.struct(h1.alias("h1"), h2.alias("h2"))
 
-    return F.aggregate(_octets(data), F.lit(FNV_OFFSET).cast("bigint"), step)
+    start = F.lit(FNV_OFFSET).cast("bigint")
+    return F.aggregate(_octets(data), F.struct(start.alias("h1"), start.alias("h2")), step)
 
 
 def fnv1a32(data: Column) -> Column:
     """FNV-1a, 32 bits, of a BINARY column, as BIGINT."""
-    return _fnv(data, True)
+    return fnv_pair(data)["h1"]
 
 
 def fnv1_32(data: Column) -> Column:
     """FNV-1, 32 bits, of a BINARY column, as BIGINT."""
-    return _fnv(data, False)
+    return fnv_pair(data)["h2"]
 
 
 def bloom_bits(n: Column, rate: float = 0.01) -> Column:
@@ -50,8 +55,8 @@ def bloom_probes(n: Column, bits: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.round(bits / keys * F.log(F.lit(2.0))).cast("bigint"))
 
 
-def bloom_positions(data: Column, bits: Column, probes: Column) -> Column:
-    """Probe positions by double hashing; the 32-bit wrap precedes the modulus."""
-    h1, h2 = fnv1a32(data), fnv1_32(data)
+def bloom_positions(h1: Column, h2: Column, bits: Column, probes: Column) -> Column:
+    """Probe positions by double hashing of columns that hold both hashes; the
+    32-bit wrap precedes the modulus."""
     at = lambda i: (h1 + i * h2).bitwiseAND(F.lit(MASK32)) % bits
     return F.transform(F.sequence(F.lit(0).cast("bigint"), probes - 1), at)

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import carry_forward
 
 
-def quorum(n: Column) -> Column:
+def majority(n: Column) -> Column:
     """Strict majority with integer division."""
     return F.floor(n / 2) + 1
 
 
-def quorum_index(progress: DataFrame) -> DataFrame:
-    """group_id, n_peers, last_idx, quorum_idx: the (n div 2 + 1)-th largest
+def majority_index(progress: DataFrame) -> DataFrame:
+    """group_id, n_peers, last_idx, majority_idx: the (n div 2 + 1)-th largest
     match.  A group has as many rows as members, so its array is small."""
     sized = progress.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_peers"), F.max("match_idx").alias("last_idx"), F.sort_array(F.collect_list("match_idx"), asc=False).alias("_m"))
-    return sized.select("group_id", "n_peers", "last_idx", F.element_at("_m", quorum(F.col("n_peers")).cast("int")).alias("quorum_idx"))
+    return sized.select("group_id", "n_peers", "last_idx", F.element_at("_m", majority(F.col("n_peers")).cast("int")).alias("majority_idx"))
 
 
 def commit_index(progress: DataFrame, term_of, committed: Column | int = -1) -> DataFrame:
     """An index commits once a strict majority holds it and its term is the
     current one (the term of the last entry here)."""
-    found = quorum_index(progress)
-    now, at = term_of(F.col("last_idx")), term_of(F.col("quorum_idx"))
+    found = majority_index(progress)
+    now, at = term_of(F.col("last_idx")), term_of(F.col("majority_idx"))
     committed = F.lit(committed) if isinstance(committed, int) else committed
-    advances = (now == at) & (F.col("quorum_idx") > committed)
-    return found.select("group_id", "n_peers", "quorum_idx", now.alias("current_term"), F.when(advances, F.col("quorum_idx")).otherwise(committed.cast("bigint")).alias("commit_idx"))
+    advances = (now == at) & (F.col("majority_idx") > committed)
+    return found.select("group_id", "n_peers", "majority_idx", now.alias("current_term"), F.when(advances, F.col("majority_idx")).otherwise(committed.cast("bigint")).alias("commit_idx"))
 
 
 def config_as_of(log: DataFrame, base: Column) -> DataFrame:
@@ -42,9 +42,9 @@ def committed_prefix(log: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def pending_config(log: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Whether a config entry lies above ``quorum_idx``."""
-    seen = log.join(bounds.select("group_id", "quorum_idx"), "group_id")
-    above = F.col("config").isNotNull() & (F.col("idx") > F.col("quorum_idx"))
+    """Whether a config entry lies above ``majority_idx``."""
+    seen = log.join(bounds.select("group_id", "majority_idx"), "group_id")
+    above = F.col("config").isNotNull() & (F.col("idx") > F.col("majority_idx"))
     return seen.groupBy("group_id").agg(F.max(above).alias("pending"))
 
 
@@ -143,7 +143,7 @@ def up_to_date(candidate: DataFrame, voter: DataFrame) -> DataFrame:
 
 def replicate_mode(progress: DataFrame, bounds: DataFrame) -> DataFrame:
     """Ship a snapshot to peers behind the snapshot boundary, entries to the others."""
-    joined = progress.join(bounds.select("group_id", F.col("quorum_idx").alias("boundary")), "group_id")
+    joined = progress.join(bounds.select("group_id", F.col("majority_idx").alias("boundary")), "group_id")
     return joined.select("group_id", "peer", F.when(F.col("match_idx") < F.col("boundary"), "snapshot").otherwise("entries").alias("mode"))
 
 
@@ -293,3 +293,56 @@ def snapshot_epochs(log: DataFrame, every: int = 50) -> DataFrame:
     """Indices at which a snapshot is taken: multiples of ``every`` that are
     commands; a membership entry there skips its turn."""
     return log.where((F.col("idx") % every == 0) & F.col("config").isNull()).select("group_id", "idx", F.floor(F.col("idx") / every).alias("epoch"))
+
+
+class NotLeader(RuntimeError):
+    """The asked node does not lead."""
+
+
+class Timeout(RuntimeError):
+    """The entry was not applied in time."""
+
+
+def routed_writes(commands: DataFrame, status: DataFrame, applied: DataFrame) -> DataFrame:
+    """(group_id, ord, node, idx, outcome) of client commands (group_id, ord,
+    waits_ms).
+
+    status: group_id, node, role, down, term, last_idx; a command goes to the
+    group's first reachable node that reports itself leader, behind its last
+    entry and the commands before it.  applied: group_id, node, idx, at_ms,
+    when a node applied an index.  Outcomes: ``ok``, ``timeout`` (not applied
+    there within waits_ms), ``not_leader`` (no reachable leader; node and idx
+    are -1).  Other commands of a group are counted by range-free ranks: one
+    window per group, groups being client sessions."""
+    leads = status.where((F.col("role") == "Leader") & ~F.col("down"))
+    leader = leads.groupBy("group_id").agg(F.min_by(F.struct("node", "last_idx"), "node").alias("_l")).select("group_id", "_l.*")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("ord"))
+    sent = commands.withColumn("_r", place).join(leader, "group_id", "left").withColumn("idx", F.col("last_idx") + F.col("_r"))
+    done = sent.join(applied.select("group_id", "node", "idx", "at_ms"), ["group_id", "node", "idx"], "left")
+    outcome = F.when(F.col("node").isNull(), "not_leader").when(F.col("at_ms") <= F.col("waits_ms"), "ok").otherwise("timeout")
+    none = F.lit(-1)
+    return done.select("group_id", "ord", F.coalesce("node", none).alias("node"), F.coalesce("idx", none).cast("bigint").alias("idx"), outcome.alias("outcome"))
+
+
+def accepted(outcome: str) -> None:
+    """The outcome of one command as the caller's exception."""
+    if outcome == "not_leader":
+        raise NotLeader
+    if outcome == "timeout":
+        raise Timeout
+
+
+def boot(record: DataFrame) -> DataFrame:
+    """What nodes (node, term, voted_for, snap_idx, snap_term) are after a
+    restart: followers whose commit and applied index is their snapshot's."""
+    return record.select("node", "term", "voted_for", F.lit("Follower").alias("role"), "snap_idx", "snap_term", F.col("snap_idx").alias("commit_idx"), F.col("snap_idx").alias("applied_idx"))
+
+
+def role_text(role: Column) -> Column:
+    """0, 1, 2 as Follower, Candidate, Leader; anything else as Unknown."""
+    return F.when(role == 0, "Follower").when(role == 1, "Candidate").when(role == 2, "Leader").otherwise("Unknown")
+
+
+def peer_order(peers: Column) -> Column:
+    """The ids of a peer map (``parse_peers``) in ascending numeric order."""
+    return F.array_sort(F.transform(F.map_keys(peers), lambda k: k.cast("int")))

@@ -1,24 +1,25 @@
-"""A durable versioned table: Parquet log and runs behind one pointer file.
-
-Folder layout: ``log/b-<n>`` appended mutations, ``runs/v-<n>`` immutable run
-sets, ``CURRENT`` the pointer (run version, next run number, log low-water
-mark).  A change writes new files first and then swaps the pointer by one
-rename; files are deleted only afterwards, so a crash at any step leaves the
-old or the new state, never a mixture.
+"""A durable versioned table: Parquet log and runs behind numbered pointers.
+
+Folder layout: ``log/`` appended batches, ``runs/`` immutable runs, each in a
+folder of a new name, ``pointer/p-<n>`` the states (lists of runs and batches,
+next run, log low-water mark).  A change writes new files first and then moves the pointer by one rename that
+never overwrites; files are deleted only afterwards, so a crash at any step
+leaves the old or the new state, never a mixture, and of two writers one gets
+``Conflict``.  A flush writes the tail as one new run and resets the log; older
+runs are not touched until a compaction.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators import state
-from tidemark.session import hadoop_path
+from tidemark.operators.pointer import Pointers
+from tidemark.session import hadoop_path, remove
 
 LOG = "seq bigint, key binary, kind tinyint, value binary"
 RUN = "run_seq bigint, seq bigint, key binary, kind tinyint, value binary"
@@ -28,66 +29,74 @@ class NotFound(KeyError):
     """The key is absent or deleted."""
 
 
+class PositionGone(LookupError):
+    """A flush or compaction has dropped the versions of a position."""
+
+
 @dataclass(frozen=True)
 class Options:
+    """A tail of ``flush_rows`` mutations, ``flush_bytes`` bytes or
+    ``flush_batches`` appends becomes a run; ``compaction_trigger`` runs become
+    one."""
+
     flush_rows: int = 1_000_000
     compaction_trigger: int = 4
+    flush_bytes: int = 256 << 20
+    flush_batches: int = 1000
 
 
 @dataclass(frozen=True)
 class Pointer:
+    """``runs``: [last position, folder] of each run, oldest first;
+    ``batches``: the log's folders in order."""
+
     version: int = 0
+    runs: list[list] = field(default_factory=list)
+    batches: list[str] = field(default_factory=list)
     next_run: int = 1
     flushed_seq: int = -1
     next_seq: int = 0
-    n_runs: int = 0
+    tail_bytes: int = 0
+
+    @property
+    def n_runs(self) -> int:
+        return len(self.runs)
 
 
 class VersionedTable:
-    """Single writer, any number of readers."""
+    """One writer at a time (a second one is refused), any number of readers."""
 
     def __init__(self, spark: SparkSession, root: str, options: Options = Options()):
         self.spark, self.root, self.options = spark, root.rstrip("/"), options
+        self.pointers = Pointers(spark, f"{self.root}/pointer")
         self.at = self._load()
 
     # -- pointer ---------------------------------------------------------
     def _load(self) -> Pointer:
-        fs, path = hadoop_path(self.spark, f"{self.root}/CURRENT")
-        if not fs.exists(path):
-            return Pointer()
-        text = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-        return Pointer(**json.loads(text))
+        _, found = self.pointers.read()
+        return Pointer(**found) if found else Pointer()
 
     def _swap(self, to: Pointer) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, path = hadoop_path(self.spark, f"{self.root}/CURRENT")
-        temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_tmp.{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(asdict(to)).encode()))
-        out.hsync()
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temporary, path, options)
+        to = replace(to, version=self.at.version + 1)
+        self.pointers.swap(to.version, asdict(to))
         self.at = to
 
     # -- reads -----------------------------------------------------------
-    def _read(self, path: str, schema: str) -> DataFrame:
-        fs, found = hadoop_path(self.spark, path)
-        if not fs.exists(found):
-            return self.spark.createDataFrame([], schema)
-        try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-        except AnalysisException:
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _folders(self, kind: str) -> list[str]:
+        fs, folder = hadoop_path(self.spark, f"{self.root}/{kind}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
     def runs(self) -> DataFrame:
-        return self._read(f"{self.root}/runs/v-{self.at.version}", RUN)
+        return self._read([f"{self.root}/runs/{name}" for _, name in self.at.runs], RUN)
 
     def tail(self) -> DataFrame:
         """Mutations that no run holds yet."""
-        return self._read(f"{self.root}/log", LOG).where((F.col("seq") > self.at.flushed_seq) & (F.col("seq") < self.at.next_seq))
+        return self._read([f"{self.root}/log/{name}" for name in self.at.batches], LOG)
 
     def versions(self) -> DataFrame:
         return self.runs().drop("run_seq").unionByName(self.tail())
@@ -97,7 +106,12 @@ class VersionedTable:
         return state.items(self.versions()).select("key", "value")
 
     def as_of(self, position: int) -> DataFrame:
-        """State after ``position``; exact back to the last compaction."""
+        """State after ``position``: exact for every position of the tail and
+        for the ends of the runs that are left.  A run holds one version per
+        key, so any other position is refused with ``PositionGone``."""
+        ends = [-1, *(end for end, _ in self.at.runs)]
+        if position < self.at.flushed_seq and position not in ends:
+            raise PositionGone(f"{position}: of the positions up to {self.at.flushed_seq} only {ends} are left")
         return state.replay_until(self.versions(), position).select("key", "value")
 
     def get(self, key: bytes) -> bytes:
@@ -117,13 +131,17 @@ class VersionedTable:
         moved = state.require_order(mutations).select(
             (F.col("seq") + base).cast("bigint").alias("seq"), F.col("key").cast("binary").alias("key"), F.col("kind").cast("tinyint").alias("kind"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value")
         )
-        path = f"{self.root}/log/b-{base:020d}"
-        moved.write.mode("overwrite").parquet(path)
-        top = self.spark.read.schema(LOG).parquet(path).agg(F.max("seq")).head()[0]
+        name = f"b-{base:020d}-{uuid.uuid4().hex}"
+        path = f"{self.root}/log/{name}"
+        moved.write.parquet(path)
+        size = F.octet_length("key") + F.octet_length("value") + 9
+        top, n_bytes = self.spark.read.schema(LOG).parquet(path).agg(F.max("seq"), F.sum(size)).head()
         if top is None:
+            remove(self.spark, path)
             return
-        self._swap(Pointer(**asdict(self.at) | {"next_seq": top + 1}))
-        if self.at.next_seq - 1 - self.at.flushed_seq >= self.options.flush_rows:
+        self._swap(replace(self.at, next_seq=top + 1, tail_bytes=self.at.tail_bytes + n_bytes, batches=[*self.at.batches, name]))
+        at, most = self.at, self.options
+        if at.next_seq - 1 - at.flushed_seq >= most.flush_rows or at.tail_bytes >= most.flush_bytes or len(at.batches) >= most.flush_batches:
             self.flush()
 
     def write(self, rows: list[tuple[int, bytes, bytes]]) -> None:
@@ -136,36 +154,40 @@ class VersionedTable:
     def delete(self, key: bytes) -> None:
         self.write([(1, key, b"")])
 
-    def _write_runs(self, runs: DataFrame, to: Pointer) -> None:
-        """Runs lie sorted by key with a bloom filter, so lookups prune files."""
-        (runs.repartitionByRange("run_seq", "key").sortWithinPartitions("run_seq", "key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/runs/v-{to.version}"))
-        self._swap(to)
+    def _write_run(self, run: DataFrame, end: int, older: list[list], **change) -> None:
+        """A new run behind ``older`` ones.  It lies sorted by key with a bloom
+        filter, so lookups prune files."""
+        at = self.at
+        name = f"r-{at.next_run:010d}-{uuid.uuid4().hex}"
+        run = run.withColumn("run_seq", F.lit(at.next_run).cast("bigint")).select("run_seq", "seq", "key", "kind", "value")
+        run.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/runs/{name}")
+        self._swap(replace(at, runs=[*older, [end, name]], next_run=at.next_run + 1, **change))
 
     def flush(self) -> None:
-        """The tail becomes a run; an empty tail is a no-op."""
-        at, tail = self.at, self.tail()
-        if tail.isEmpty():
+        """The tail becomes one new run and the log is reset; an empty tail is
+        a no-op.  Runs that are there are not read."""
+        at = self.at
+        end = at.next_seq - 1
+        if end == at.flushed_seq:
             return
-        run = state.latest(tail).withColumn("run_seq", F.lit(at.next_run).cast("bigint"))
-        merged = self.runs().unionByName(run)
-        to = Pointer(at.version + 1, at.next_run + 1, at.next_seq - 1, at.next_seq, at.n_runs + 1)
-        self._write_runs(merged, to)
-        if to.n_runs >= self.options.compaction_trigger:
+        self._write_run(state.latest(self.tail()), end, at.runs, flushed_seq=end, batches=[], tail_bytes=0)
+        for name in at.batches:
+            remove(self.spark, f"{self.root}/log/{name}")
+        if self.at.n_runs >= self.options.compaction_trigger:
             self.compact()
 
     def compact(self) -> None:
         """All runs into one; tombstones go, for nothing older is left."""
-        at = self.at
-        if not at.n_runs:
+        if not self.at.n_runs:
             return
         one = state.compact(self.runs()).withColumn("kind", F.lit(0).cast("tinyint"))
-        one = one.withColumn("run_seq", F.lit(at.next_run).cast("bigint"))
-        self._write_runs(one, Pointer(at.version + 1, at.next_run + 1, at.flushed_seq, at.next_seq, 1))
+        self._write_run(one, self.at.flushed_seq, [])
 
     def vacuum(self) -> None:
-        """Delete run sets that the pointer has left behind."""
-        fs, folder = hadoop_path(self.spark, f"{self.root}/runs")
-        if fs.exists(folder):
-            for status in fs.listStatus(folder):
-                if status.getPath().getName() != f"v-{self.at.version}":
-                    fs.delete(status.getPath(), True)
+        """Delete what the pointer has left behind: runs, log batches, older
+        pointers.  Not while others still read an older state or write."""
+        for kind, held in (("runs", {name for _, name in self.at.runs}), ("log", set(self.at.batches))):
+            for name in self._folders(kind):
+                if name not in held:
+                    remove(self.spark, f"{self.root}/{kind}/{name}")
+        self.pointers.tidy()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.codec import wal_checksum_ok, wal_record
 from tidemark.operators import replica, state, storage
 from tidemark.sources import adapters as a
-from tidemark.session import table
+from tidemark.session import materialise, scope, table
 from tidemark.streaming import apply as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ REPLICAS = "rep AS (SELECT user_id AS group_id, event_type AS peer, max(event_id
 RAFT = """ent AS (SELECT user_id AS group_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, count(*) OVER (PARTITION BY user_id) AS n FROM events),
   lead_log AS (SELECT group_id, idx, 1 + idx // 10 AS term FROM ent WHERE idx <= n - 3),
   foll_log AS (SELECT group_id, idx, least(1 + idx // 10, 5) AS term FROM ent WHERE idx <= 55)"""
-KTH = """kth AS (SELECT group_id, count(*) AS n_peers, max(match_idx) AS last_idx, list_sort(list(match_idx), 'DESC')[(count(*) // 2 + 1)::INT] AS quorum_idx FROM rep GROUP BY group_id)"""
+KTH = """kth AS (SELECT group_id, count(*) AS n_peers, max(match_idx) AS last_idx, list_sort(list(match_idx), 'DESC')[(count(*) // 2 + 1)::INT] AS majority_idx FROM rep GROUP BY group_id)"""
 
 
 def _newest(source: str, where: str = "true") -> str:
@@ -168,17 +168,18 @@ BITS = f"""{SIZING}, hashed AS (SELECT run_seq, key, {_fnv_sql('(xor(h, b) * 167
 @query("bloom_membership", f"WITH {RUNS}, {BITS} SELECT run_seq, count(DISTINCT pos) AS n_bits, (SELECT count(*) FROM runs r WHERE r.run_seq = probes.run_seq) AS n_maybe FROM probes GROUP BY run_seq")
 def bloom_membership(spark, d):
     """Set bits per run, and how many of the run's own keys probe as present (all)."""
-    log = a.events_log(spark, d)
-    bits = storage.bloom_build(log).groupBy("run_seq").agg(F.count(F.lit(1)).alias("n_bits"))
-    own = state.flush_runs(log).select("run_seq", "key")
-    maybe = storage.bloom_probe(log, own).groupBy("run_seq").agg(F.sum(F.col("maybe").cast("bigint")).alias("n_maybe"))
-    return bits.join(maybe, "run_seq").select("run_seq", "n_bits", "n_maybe")
+    with scope(spark) as keep:
+        own = materialise(state.flush_runs(a.events_log(spark, d)).select("run_seq", "key"), "run-keys")
+        filters = materialise(storage.bloom_build(own), "filters")
+        bits = filters.groupBy("run_seq").agg(F.sum(F.bitmap_count("bits")).alias("n_bits"))
+        maybe = storage.bloom_probe(filters, own).groupBy("run_seq").agg(F.sum(F.col("maybe").cast("bigint")).alias("n_maybe"))
+        return keep(bits.join(maybe, "run_seq").select("run_seq", "n_bits", "n_maybe"), "bloom-membership")
 
 
 @query(
     "commit_index",
-    f"""WITH {REPLICAS}, {KTH} SELECT group_id, n_peers, quorum_idx, last_idx // 1000 + 1 AS current_term,
-  CASE WHEN last_idx // 1000 = quorum_idx // 1000 THEN quorum_idx ELSE -1 END AS commit_idx FROM kth""",
+    f"""WITH {REPLICAS}, {KTH} SELECT group_id, n_peers, majority_idx, last_idx // 1000 + 1 AS current_term,
+  CASE WHEN last_idx // 1000 = majority_idx // 1000 THEN majority_idx ELSE -1 END AS commit_idx FROM kth""",
 )
 def commit_index(spark, d):
     return replica.commit_index(a.replicas(spark, d), event_term)
@@ -193,7 +194,7 @@ def config_as_of(spark, d):
     return replica.config_as_of(a.config_log(spark, d), F.lit(-1)).select("group_id", "idx", "config_in_force")
 
 
-COMMITS = f"{REPLICAS}, {KTH}, com AS (SELECT group_id, CASE WHEN last_idx // 1000 = quorum_idx // 1000 THEN quorum_idx ELSE -1 END AS commit_idx FROM kth)"
+COMMITS = f"{REPLICAS}, {KTH}, com AS (SELECT group_id, CASE WHEN last_idx // 1000 = majority_idx // 1000 THEN majority_idx ELSE -1 END AS commit_idx FROM kth)"
 
 
 @query("committed_prefix", f"WITH {COMMITS} SELECT user_id AS group_id, count(*) FILTER (event_id <= commit_idx) AS n_committed, max(event_id) FILTER (event_id <= commit_idx) AS last_committed FROM events JOIN com ON group_id = user_id GROUP BY user_id")
@@ -201,9 +202,9 @@ def committed_prefix(spark, d):
     return replica.committed_prefix(a.config_log(spark, d), replica.commit_index(a.replicas(spark, d), event_term))
 
 
-@query("pending_config", f"WITH {REPLICAS}, {KTH} SELECT user_id AS group_id, bool_or(event_type = 'signup' AND event_id > quorum_idx) AS pending FROM events JOIN kth ON group_id = user_id GROUP BY user_id")
+@query("pending_config", f"WITH {REPLICAS}, {KTH} SELECT user_id AS group_id, bool_or(event_type = 'signup' AND event_id > majority_idx) AS pending FROM events JOIN kth ON group_id = user_id GROUP BY user_id")
 def pending_config(spark, d):
-    return replica.pending_config(a.config_log(spark, d), replica.quorum_index(a.replicas(spark, d)))
+    return replica.pending_config(a.config_log(spark, d), replica.majority_index(a.replicas(spark, d)))
 
 
 CUT = f"""{RAFT}, cut AS (SELECT e.group_id, coalesce(min(l.idx) FILTER (l.term <> f.term), max(f.idx) + 1) AS c, max(l.idx) AS leader_last, max(f.idx) AS follower_last
@@ -273,10 +274,10 @@ def up_to_date_pairs(spark, d):
     return replica.up_to_date(*_logs(spark, d))
 
 
-@query("replicate_mode", f"WITH {REPLICAS}, {KTH} SELECT group_id, peer, CASE WHEN match_idx < quorum_idx THEN 'snapshot' ELSE 'entries' END AS mode FROM rep JOIN kth USING (group_id)")
+@query("replicate_mode", f"WITH {REPLICAS}, {KTH} SELECT group_id, peer, CASE WHEN match_idx < majority_idx THEN 'snapshot' ELSE 'entries' END AS mode FROM rep JOIN kth USING (group_id)")
 def replicate_mode(spark, d):
     progress = a.replicas(spark, d)
-    return replica.replicate_mode(progress, replica.quorum_index(progress))
+    return replica.replicate_mode(progress, replica.majority_index(progress))
 
 
 @query("replica_lag", f"WITH {REPLICAS} SELECT group_id, peer, match_idx, max(match_idx) OVER (PARTITION BY group_id) - match_idx AS lag FROM rep")

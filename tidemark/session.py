@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder
-    is made and registered, so a cluster never writes to a local disk.
+    Only where the setting is absent and the master is local (tests, one
+    machine) a temporary folder is made and registered; on a cluster that
+    would be a disk of one machine, so it is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -47,8 +51,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables written in each open ``scope``, innermost last.
-_SCOPES: list[list[str]] = []
+#: Tables written in each open ``scope`` of the running thread or task,
+#: innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -57,8 +62,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     table lives until the scope ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if open_ := _SCOPES.get():
+        open_[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,19 +72,21 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]
     """Tables materialised inside are deleted at the end.  What shall outlive
     them goes through the function that is handed out: it writes the result
     for the scope around this one."""
-    _SCOPES.append([])
+    around, own = _SCOPES.get(), []
+    token = _SCOPES.set((*around, own))
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        own = _SCOPES.pop()
+        inner = _SCOPES.set(around)
         try:
             return materialise(df, label)
         finally:
-            _SCOPES.append(own)
+            _SCOPES.reset(inner)
 
     try:
         yield keep
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in own:
             remove(spark, path)
 
 

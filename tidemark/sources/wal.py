@@ -6,6 +6,7 @@ checksum or a bad frame ends it quietly, and records after it are not read.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -58,11 +59,23 @@ def replay(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         at += 8 + size
 
 
+def replay_stream(source) -> Iterator[tuple[int, bytes, bytes]]:
+    """``replay`` of an open file, one record at a time."""
+    while len(head := source.read(8)) == 8:
+        crc, size = struct.unpack("<II", head)
+        body = source.read(size)
+        if len(body) < size or zlib.crc32(body) != crc or (found := unpack_frame(body)) is None:
+            return
+        yield found
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Replay every log file under ``path`` (any file system Spark can open).
 
-    One file is one task's work: the format has no split points.  A folder
-    without log files gives no rows.
+    One file is one task's work: the format has no split points.  Spark hands
+    over a file's bytes as a whole (files beyond 2 GB need the data source
+    below, which streams); records go on in batches.  A folder without log
+    files gives no rows.
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -72,9 +85,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(name, i, k, kind - 256 if kind > 127 else kind, v) for i, (kind, k, v) in enumerate(replay(content))]
-                for low in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[low : low + 10_000], columns=["file", "seq", "key", "kind", "value"])
+                rows = ((name, i, k, kind - 256 if kind > 127 else kind, v) for i, (kind, k, v) in enumerate(replay(content)))
+                while part := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["file", "seq", "key", "kind", "value"])
 
     return files.mapInPandas(parse, SCHEMA)
 
@@ -103,10 +116,9 @@ class WalReader(DataSourceReader):
         store, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
         if store.get_file_info(path).type == fs.FileType.NotFound:
             return
-        with store.open_input_stream(path) as f:
-            data = f.read()
-        for i, (kind, key, value) in enumerate(replay(data)):
-            yield (partition.path, i, key, kind - 256 if kind > 127 else kind, value)
+        with store.open_input_stream(path, buffer_size=1 << 20) as f:
+            for i, (kind, key, value) in enumerate(replay_stream(f)):
+                yield (partition.path, i, key, kind - 256 if kind > 127 else kind, value)
 
 
 class WalDataSource(DataSource):

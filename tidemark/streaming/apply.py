@@ -47,7 +47,12 @@ def emitted_state(spark: SparkSession, folder: str, schema: StructType) -> DataF
 
 class KeyedApply(StatefulProcessor):
     """Custom state machine hook: ``reduce(old, new)`` decides what a key holds;
-    the default is newest position wins.  State lives in RocksDB."""
+    the default is newest position wins.  State lives in RocksDB.
+
+    Rows go through Python one by one, which only a custom reducer needs;
+    ``apply_stream`` is the JVM's way.  A batch's rows of a key may come in
+    several parts, each sorted by position: a reducer must not depend on the
+    order of arrival beyond what the positions say."""
 
     def __init__(self, reduce: Callable | None = None):
         self.reduce = reduce or (lambda old, new: new if old is None or new[0] >= old[0] else old)
@@ -73,9 +78,14 @@ class KeyedApply(StatefulProcessor):
 def keyed_apply_stream(stream: DataFrame, folder: str, checkpoint: str, reduce: Callable | None = None) -> None:
     """``apply_stream`` through a stateful processor, for custom reducers."""
     ship_package(stream.sparkSession)
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = stream.groupBy("key").transformWithStateInPandas(KeyedApply(reduce), "key string, seq bigint, kind int, value double", "Update", "None")
-    out.writeStream.outputMode("update").foreachBatch(_sink(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    name, conf = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession.conf
+    held = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stream.groupBy("key").transformWithStateInPandas(KeyedApply(reduce), "key string, seq bigint, kind int, value double", "Update", "None")
+        out.writeStream.outputMode("update").foreachBatch(_sink(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, held)
 
 
 def snapshot_due(applied: int, snapshot_idx: int, every: int = 50) -> bool:
@@ -84,10 +94,17 @@ def snapshot_due(applied: int, snapshot_idx: int, every: int = 50) -> bool:
     return applied // every > snapshot_idx // every
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter A as a stream of files."""
+def events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
+    """Adapter A as a stream of files; a batch takes ``files_per_batch`` files
+    or ``bytes_per_batch`` ("64m") at most, so that a slow sink holds the
+    source back."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    elif bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    raw = reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque[t]")
     digit = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint") % 10
     return raw.select(
         F.concat_ws(":", F.col("user_id").cast("string"), digit.cast("string")).alias("key"),
