@@ -133,3 +133,30 @@ def test_files_of_many_parts(spark, sf, tmp_path):
     many = bitpack.write_ids(df, tokenizer_file(WORD_TOKENIZER), f"file://{tmp_path}/b", 2, file_ids=5000)
     assert many.count() > one.count()
     assert sorted(map(tuple, bitpack.read_ids(many, "file:///").collect())) == sorted(map(tuple, bitpack.read_ids(one, "file:///").collect()))
+
+
+def test_long_unbroken_words():
+    """Words of 10^5 characters, as the library has them and without a merge a round."""
+    import random
+    import string
+    import time
+
+    import sentencepiece
+
+    path = tokenizer_file(PIECE_MODEL)
+    lib, tool, r = sentencepiece.SentencePieceProcessor(model_file=path), piece.Pieces(path), random.Random(4)
+    alphabets = [string.ascii_lowercase, string.ascii_letters + string.digits + "+/", "etaoinsr", "a", "=", " ", "é漢한e"]
+    for letters in alphabets:
+        text = "".join(r.choices(letters, k=100_000))
+        began = time.perf_counter()
+        got = tool.encode([text])[0].tolist()
+        assert time.perf_counter() - began < 8
+        assert got == lib.encode(text, add_bos=True, add_eos=True)
+
+
+def test_one_by_one_is_the_rounds_result():
+    path = tokenizer_file(PIECE_MODEL)
+    model = piece.pieces(path).model
+    for word in ["▁international", "▁aaaaabaaab", "▁The", "xqzj", "▁"]:
+        sym = [int(model.symbol[ord(c)]) for c in word]
+        assert model._one_by_one(sym) == model.words([word])[0].tolist()

@@ -3,12 +3,15 @@
 A text's symbols lie in flat numpy arrays.  In each round every word finds
 the best (smallest) rank among its adjacent pairs by a segmented minimum and
 merges the leftmost pairs of that rank; words without a mergeable pair leave,
-the rest is compacted, until none is left.
+the rest is compacted, until none is left.  Only the pairs of new products are
+looked up again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import re
 
 import numpy as np
@@ -23,6 +26,8 @@ NONE = np.int64(1 << 40)
 UNKNOWN = 1 << 24  # symbols at or above: characters without a piece
 CACHE_WORDS = 200_000
 NORMAL, CONTROL, BYTE = 1, 3, 6
+#: Symbols from which on a part whose products pair at once is merged one by one.
+LONG_PART = 64
 
 
 class PieceModel:
@@ -67,6 +72,9 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces cross words")
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if "\n" in alphabet else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        #: pairs of characters that stand side by side in some piece
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in itertools.pairwise(p)}), np.int64)
+        self._table: dict[int, tuple[int, int]] | None = None
         self._decoder(proto)
 
     def _decoder(self, proto) -> None:
@@ -93,13 +101,6 @@ class PieceModel:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NONE), np.where(hit, self.made[at], -1)
 
-    def _pairs(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and product of the pair at each position (NONE at word ends)."""
-        rank, made = np.full(len(sym), NONE), np.full(len(sym), -1)
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        rank[inside], made[inside] = self._rank(sym[inside], sym[inside + 1])
-        return rank, made
-
     @staticmethod
     def _leftmost(chosen: np.ndarray) -> np.ndarray:
         """Of positions that follow each other every other one, from the left."""
@@ -111,62 +112,114 @@ class PieceModel:
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         return at[(np.arange(len(at)) - first) % 2 == 0]
 
-    @staticmethod
-    def _merge(sym, word, made, at):
-        out = sym.copy()
-        out[at] = made[at]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        return out[keep], word[keep], keep
-
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word (a non-empty run between cuts)."""
+        """Ids of each word (a non-empty run between cuts).
+
+        Words are cut further between characters that no piece holds side by
+        side, for nothing merges there.  In a round every part merges the
+        leftmost pairs of its best rank.  A product that pairs with a
+        neighbour at a better rank would be merged on at once by the library,
+        so a part's round ends with the first such product; a long part with
+        one is left to ``_one_by_one``.
+        """
         if not words:
             return []
         lengths = np.array([len(w) for w in words], np.int64)
-        sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)]
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        sym = self.symbol[codes]
         word = np.repeat(np.arange(len(words)), lengths)
-        done_sym, done_word = [], []
-        rank, made = self._pairs(sym, word)
+        beside = codes[:-1] << 21 | codes[1:]
+        joint = self.beside[np.minimum(np.searchsorted(self.beside, beside), len(self.beside) - 1)] == beside
+        inside = joint & (word[1:] == word[:-1])
+        owner = word[np.flatnonzero(np.r_[True, ~inside])]
+        part = np.cumsum(np.r_[0, ~inside])
+        done_sym, done_part = [], []
+        rank, made = np.full(len(sym), NONE), np.full(len(sym), -1)
+        at = np.flatnonzero(inside)
+        rank[at], made[at] = self._rank(sym[at], sym[at + 1])
         while len(sym):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, first)
-            each = np.repeat(best, np.diff(np.r_[first, len(sym)]))
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            size = np.diff(np.r_[first, len(sym)])
+            each = np.repeat(np.minimum.reduceat(rank, first), size)
             over = each == NONE
             if over.any():
                 done_sym.append(sym[over])
-                done_word.append(word[over])
+                done_part.append(part[over])
                 live = ~over
-                sym, word, rank, made, each = sym[live], word[live], rank[live], made[live], each[live]
+                sym, part, rank, made, each = sym[live], part[live], rank[live], made[live], each[live]
                 if not len(sym):
                     break
-            chosen = rank == each
-            at = self._leftmost(chosen)
-            new_sym, new_word, keep = self._merge(sym, word, made, at)
-            new_rank, new_made = self._pairs(new_sym, new_word)
-            # a product may pair at once at least as well as what is merged;
-            # one merge at a time is then the library's order
-            early = new_rank <= each[keep]
-            touched = np.zeros(len(sym), bool)
-            touched[at] = True
-            merged = touched[keep]
-            near = early & (merged | np.r_[merged[1:], False])
-            if near.any():
-                slow = np.unique(new_word[near])
-                is_slow = np.isin(word[at], slow)
-                kept_first = np.r_[True, word[at][1:] != word[at][:-1]]
-                at = at[~is_slow | kept_first]
-                new_sym, new_word, keep = self._merge(sym, word, made, at)
-                new_rank, new_made = self._pairs(new_sym, new_word)
-            sym, word, rank, made = new_sym, new_word, new_rank, new_made
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
+            at = self._leftmost(rank == each)
+            best, product, own = rank[at], made[at], part[at]
+            # the pairs of each product with its neighbours at the time of its merge
+            beside = np.r_[False, at[1:] - 2 == at[:-1]] & np.r_[False, own[1:] == own[:-1]]
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+            has_left, has_right = (at > 0) & (part[before] == own), (at + 2 < len(sym)) & (part[after] == own)
+            left = np.where(beside, np.r_[0, product[:-1]], sym[before])
+            l_rank, l_made = self._rank(left, product)
+            r_rank, r_made = self._rank(product, sym[after])
+            l_rank, r_rank = np.where(has_left, l_rank, NONE), np.where(has_right, r_rank, NONE)
+            early = (l_rank <= best) | (r_rank <= best)
+            if early.any():
+                earlier = np.cumsum(early) - early
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                stay = earlier == np.repeat(earlier[start], np.diff(np.r_[start, len(own)]))
+                at, product, beside, has_left, l_rank, l_made, r_rank, r_made = (x[stay] for x in (at, product, beside, has_left, l_rank, l_made, r_rank, r_made))
+                long = np.isin(part, own[early])
+                long &= np.bincount(part, minlength=len(owner))[part] > LONG_PART
+                if long.any():
+                    for p in np.unique(part[long]).tolist():
+                        ids = self._one_by_one(sym[part == p].tolist())
+                        done_sym.append(np.array(ids, np.int64))
+                        done_part.append(np.full(len(ids), p))
+                    live, mine = ~long, ~long[at]
+                    place = np.cumsum(live) - 1
+                    sym, part, rank, made = sym[live], part[live], rank[live], made[live]
+                    at, product, beside, has_left, l_rank, l_made, r_rank, r_made = (x[mine] for x in (place[at], product, beside, has_left, l_rank, l_made, r_rank, r_made))
+                    if not len(at):
+                        continue
+            follows = np.r_[beside[1:], False]
+            sym[at] = product
+            rank[at] = np.where(follows, np.r_[l_rank[1:], 0], r_rank)
+            made[at] = np.where(follows, np.r_[l_made[1:], 0], r_made)
+            free = has_left & ~beside
+            rank[at[free] - 1], made[at[free] - 1] = l_rank[free], l_made[free]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, part, rank, made = sym[keep], part[keep], rank[keep], made[keep]
+        sym, part = np.concatenate(done_sym), np.concatenate(done_part)
+        order = np.argsort(part, kind="stable")
+        sym, word = sym[order], owner[part[order]]
         if (odd := sym >= UNKNOWN).any():
             sym, word = self._bytes(sym, word, odd)
         ends = np.searchsorted(word, np.arange(len(words)), "right")
         return np.split(sym.astype("<u4"), ends[:-1])
 
+    def _one_by_one(self, sym: list[int]) -> list[int]:
+        """One merge at a time, the best rank first, then the leftmost: a heap
+        of pairs over a linked list."""
+        if self._table is None:
+            self._table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        find = self._table.get
+        n = len(sym)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, sym[i], sym[i + 1], found[1]) for i in range(n - 1) if (found := find(sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, product = heapq.heappop(heap)
+            j = right[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j] = product, -1
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if found := find(product << 32 | sym[k]):
+                    heapq.heappush(heap, (found[0], i, product, sym[k], found[1]))
+            if (h := left[i]) >= 0 and (found := find(sym[h] << 32 | product)):
+                heapq.heappush(heap, (found[0], h, sym[h], product, found[1]))
+        return [x for x in sym if x >= 0]
+
     def _bytes(self, sym, word, odd):
         """Characters without a piece as their UTF-8 bytes' pieces."""
         codes = sym[odd] - UNKNOWN
