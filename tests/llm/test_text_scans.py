@@ -183,6 +183,24 @@ def test_long_secrets_are_whole(spark):
     assert [(s.start, s.stop) for s in row.spans if s.kind == "pem"] == [(0, 27), (30, len(two))]
 
 
+def test_many_findings(spark):
+    """A text's findings are placed in time that grows with their number."""
+    n = 60_000
+    text = " ".join(f"é{i % 10} token={i:06d}" for i in range(n))
+    row = secrets.report(docs(spark, [(1, text), (2, None)])).where("doc_id = 1").head()
+    assert row.n_assign == n
+    assert row.spans == ",".join(f"assign:{16 * i + 3}:{16 * i + 15}" for i in range(n))
+
+
+def test_clashing_names(spark):
+    names = ["spans", "_postings0", "_folded", "_text", "licenses", "_w", "_h", "_i", "_row"]
+    df = spark.createDataFrame([(1, "token=abcdef12 under the Apache License, Version 2.0", *names)], ["doc_id", "text", *names])
+    row = secrets.scan(df)
+    assert row.columns == [*df.columns, "_spans"] and tuple(row.head())[:-1] == tuple(df.head()) and len(row.head()["_spans"]) == 1
+    row = licenses.find(df, licenses.Templates(spark))
+    assert row.columns == [*df.columns, "_licenses"] and tuple(row.head())[:-1] == tuple(df.head())
+
+
 def test_extra_columns_stay(spark):
     df = docs(spark, [(1, "token=abcdefgh")]).selectExpr("*", "'x' AS _folded", "7 AS hit")
     out = secrets.scan(df.drop("_folded")).collect()

@@ -48,6 +48,15 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as make it new in ``df``: a result
+    column never replaces one of the caller's."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) slices of at most ``limit`` characters, one text at least;
     null becomes the empty text."""

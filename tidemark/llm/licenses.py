@@ -21,6 +21,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name, quoted
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 24
@@ -213,8 +215,13 @@ def find(docs: DataFrame, templates: Templates) -> DataFrame:
     """``docs`` with ``licenses``: array of struct(name, start, contained) of
     every verified window, ``start`` in words from 0.
 
-    Rows are independent: no shuffle.  A null text has no license."""
-    text = F.coalesce(F.lower(F.col("text").cast("string")), F.lit(""))
+    Rows are independent: no shuffle, repeated rows give repeated results.  A
+    null or empty text has no license; texts may be of any length.  Matches of
+    one window come in the order of the templates.  All columns of ``docs``
+    stay as they are; if one is named ``licenses``, the result's name gets an
+    underscore in front (``common.free_name``)."""
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.col("text").cast("string").alias("_text"))
+    text = F.coalesce(F.lower("_text"), F.lit(""))
     likely = F.lit(False)
     for w in templates.gate:
         likely = likely | F.contains(text, F.lit(w))
@@ -224,15 +231,15 @@ def find(docs: DataFrame, templates: Templates) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1))),
         lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, SHINGLE), " ")),
     )
-    df = docs.withColumn("_w", F.when(likely, tokens).otherwise(F.array().cast("array<string>")))
+    df = held.withColumn("_w", F.when(likely, tokens).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_h", F.when(F.size("_w") > 0, joined).otherwise(F.array().cast(empty)))
     hits = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.get(F.col("_h"), i).isin([F.lit(v).cast("bigint") for v in templates.known]))
     df = df.withColumn("_i", F.when(F.size("_h") > 0, hits).otherwise(F.array().cast("array<int>")))
     match = "array<struct<name:string,start:int,contained:double>>"
     found = [windows_of(size, rows, match) for size, rows in sorted(templates.by_class.items())]
     none = F.array().cast(match)
-    df = df.withColumn("licenses", F.when(F.size("_i") > 0, F.flatten(F.array(*found))).otherwise(none))
-    return df.drop("_w", "_h", "_i")
+    result = F.when(F.size("_i") > 0, F.flatten(F.array(*found))).otherwise(none)
+    return df.select("_row", result.alias("_found")).select("_row.*", F.col("_found").alias(free_name(docs, "licenses")))
 
 
 def spdx_ids(text: Column) -> Column:

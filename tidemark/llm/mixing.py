@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name, fresh_names, quoted
 from tidemark.session import materialise, scope
 
 BLOCKS = 1024
@@ -122,22 +123,31 @@ def plan(tokens: DataFrame, target: Target, seed: int = 0, blocks: int = BLOCKS)
     return ranked.where(whole | last).select("source", "block", "epoch", "rank", "weight")
 
 
-def with_block(docs: DataFrame, seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` with source (null as ''), block and n_tokens."""
+def with_block(docs: DataFrame, names: list[str], seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
+    """``docs`` with the columns ``names``: source (null as ''), block and
+    n_tokens."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     at = draw(F.lit(f"block{seed}"), F.col("doc_id").cast("string")) % blocks
-    return docs.withColumn("_source", source).withColumn("_block", at).withColumn("_tokens", n_tokens(F.col("text").cast("string")))
+    made = (source, at, n_tokens(F.col("text").cast("string")))
+    return docs.select("*", *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
 def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[str] | None = None, facts: bool = True) -> DataFrame:
     """Rows of ``docs`` as often as their blocks are planned: columns ``keep``
     (all if None) and, with ``facts``, mix_tokens, epoch, rank and weight.
 
-    Documents without tokens carry no weight; they go with their block.  A
-    source without any token has no budget and goes out once, unchanged.
+    Documents without tokens (null and empty texts) carry no weight; they go
+    with their block.  A source without any token has no budget and goes out
+    once, unchanged; a null source is the source ''.  Repeated rows and rows
+    that share a doc_id lie in one block and go out together; rows without a
+    doc_id lie in one block too.  Texts may be of any length.  Ties of a
+    permutation fall to the smaller block.  The caller's columns keep their
+    values whatever their names; the four facts get underscores in front where
+    a kept column has their name (``common.free_name``).
     """
     with scope(docs.sparkSession) as out:
-        sized = with_block(docs.select("doc_id", "source", "text"), seed).select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
+        sized = with_block(docs.select("doc_id", "source", "text"), ["_source", "_block", "_tokens"], seed)
+        sized = sized.select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
         tokens = materialise(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "mix-blocks")
         chosen = materialise(plan(tokens, target, seed), "mix-plan")
         # one row a block: its epochs and ranks.  At most BLOCKS rows a source.
@@ -147,14 +157,17 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[st
         free = tokens.join(idle, "source").select("source", "block", once.alias("_e"), F.lit(0.0).alias("weight"))
         table = out(per_block.unionByName(free), "mix-table")
     keep = keep if keep is not None else docs.columns
-    carried = with_block(docs, seed).select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)), "_source", "_block", "_tokens")
+    own = fresh_names(docs, "source", "block", "tokens")
+    carried = with_block(docs, own, seed).select(*(F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(keep)), *(F.col(c).alias(n) for c, n in zip(own, ("_source", "_block", "_tokens"), strict=True)))
     table = table.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_e", F.col("weight").alias("_weight"))
     joined = carried.join(table, ["_source", "_block"])
     rows = joined.select(*(f"_c{i}" for i in range(len(keep))), "_tokens", "_weight", F.explode("_e").alias("_x"))
     kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)]
     if not facts:
         return rows.select(*kept)
-    return rows.select(*kept, F.col("_tokens").alias("mix_tokens"), F.col("_x.epoch").alias("epoch"), F.col("_x.rank").alias("rank"), F.col("_weight").alias("weight"))
+    facts_of = {"mix_tokens": F.col("_tokens"), "epoch": F.col("_x.epoch"), "rank": F.col("_x.rank"), "weight": F.col("_weight")}
+    held = docs.select(*map(quoted, keep))
+    return rows.select(*kept, *(c.alias(free_name(held, n)) for n, c in facts_of.items()))
 
 
 def report(docs: DataFrame) -> DataFrame:

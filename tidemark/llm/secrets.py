@@ -18,9 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name, fresh_names
+
 ANY = ("any",)
 MAX_STRINGS = 32
 WORD_BITS = 62
+BLOCK = 256
+SPANS = "array<struct<start:bigint,ord:int,stop:bigint,kind:string>>"
 
 
 @dataclass(frozen=True)
@@ -186,22 +190,23 @@ class Index:
     """Dictionary of the trigrams that the rules' queries mention, and the
     columns that hold a row's posting bitmap."""
 
-    def __init__(self, rules: list[Rule]):
+    def __init__(self, rules: list[Rule], columns: list[str] | None = None):
         self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
         self.grams = sorted(set().union(*(query_grams(q) for q in self.queries.values())))
         self.at = {g: i for i, g in enumerate(self.grams)}
-        self.columns = [f"_postings{w}" for w in range((len(self.grams) + WORD_BITS - 1) // WORD_BITS)]
+        self.words = (len(self.grams) + WORD_BITS - 1) // WORD_BITS
+        self.columns = columns or [f"_postings{w}" for w in range(self.words)]
 
     def add(self, df: DataFrame, text: str) -> DataFrame:
         """Posting bitmaps of every row."""
-        folded = F.lower(F.col(text))
-        df = df.withColumn("_folded", folded)
+        folded = fresh_names(df, "folded")[0]
+        df = df.withColumn(folded, F.lower(F.col(text)))
         for w, name in enumerate(self.columns):
             bits = F.lit(0).cast("bigint")
             for i, g in enumerate(self.grams[w * WORD_BITS : (w + 1) * WORD_BITS]):
-                bits = bits + F.when(F.contains(F.col("_folded"), F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                bits = bits + F.when(F.contains(F.col(folded), F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
             df = df.withColumn(name, bits)
-        return df.drop("_folded")
+        return df.drop(folded)
 
     def _masks(self, names: set[str]) -> dict[str, int]:
         out: dict[str, int] = {}
@@ -235,6 +240,45 @@ class Index:
 
 
 # -- verification ------------------------------------------------------------------
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: an array of one element
+    stands for a local variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def placed(pieces: Column, order: int, kind: str) -> Column:
+    """Spans of pieces (gap, size, counts): every start is the sum of all gaps
+    and sizes before it.  Sums run within blocks of BLOCK pieces and over the
+    blocks, so that no list grows by one copy a finding."""
+    entry = "struct<start:bigint,stop:bigint,counts:boolean>"
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        made = F.struct(start.alias("start"), (start + p["size"]).alias("stop"), p["counts"].alias("counts"))
+        return F.struct((start + p["size"]).alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    zero = F.lit(0).cast("bigint")
+    own = lambda block: F.aggregate(block, F.struct(zero.alias("at"), F.array().cast(f"array<{entry}>").alias("out")), step)
+    last = F.floor((F.size(pieces) - 1) / BLOCK)
+    blocks = F.transform(F.sequence(zero, last), lambda b: own(F.slice(pieces, (b * BLOCK + 1).cast("int"), BLOCK)))
+
+    def joined(found: Column) -> Column:
+        before = F.aggregate(
+            found,
+            F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        moved = lambda x, low: F.transform(
+            F.filter(x["out"], lambda e: e["counts"]),
+            lambda e: F.struct((e["start"] + low).alias("start"), F.lit(order).alias("ord"), (e["stop"] + low).alias("stop"), F.lit(kind).alias("kind")),
+        )
+        return F.flatten(F.zip_with(found, before, moved))
+
+    # sequence(0, -1) counts down, hence the guard
+    return F.when(F.size(pieces) > 0, once(blocks, joined)).otherwise(F.array().cast(SPANS))
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct(start, ord, stop, kind)> of a rule's matches, leftmost and
     without overlap, in code points.
@@ -243,21 +287,15 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     matches themselves; matches that are too short are dropped afterwards, so
     they still use up their text.
     """
-    java = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, java, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    entry = "struct<start:bigint,ord:int,stop:bigint,kind:string>"
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        stop = start + F.char_length(pair["hit"])
-        made = F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        size = F.char_length(F.regexp_extract(pair["hit"], rule.pattern, rule.group)) if rule.group else F.char_length(pair["hit"])
-        return F.struct(stop.alias("at"), F.when(size >= rule.least, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
+    def piece(hit: Column, gap: Column) -> Column:
+        measured = F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit
+        return F.struct(gap.cast("bigint").alias("gap"), F.char_length(hit).cast("bigint").alias("size"), (F.char_length(measured) >= rule.least).alias("counts"))
 
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("hit"), g.cast("bigint").alias("gap")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{entry}>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pieces = once(matches, lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), piece))
+    return once(pieces, lambda p: placed(p, order, rule.kind))
 
 
 def quick_test(rule: Rule) -> str:
@@ -268,13 +306,18 @@ def quick_test(rule: Rule) -> str:
 def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with ``spans``: all findings by start, then by rule order.
 
-    A null text counts as empty.  Rows are independent: no shuffle."""
+    A null text is read as empty and has none; texts may be of any length and
+    hold any number of findings.  Rows are independent: no shuffle, repeated
+    rows give repeated results.  All columns of ``docs`` stay as they are; if
+    one is named ``spans``, the result's name gets an underscore in front
+    (``common.free_name``)."""
     rules = rules or RULES
-    index = Index(rules)
-    df = index.add(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), "text")
-    empty = F.array().cast("array<struct<start:bigint,ord:int,stop:bigint,kind:string>>")
-    found = [F.when(index.candidate(index.queries[r.kind]) & F.col("text").rlike(quick_test(r)), rule_spans(F.col("text"), r, i)).otherwise(empty) for i, r in enumerate(rules)]
-    return df.withColumn("spans", F.array_sort(F.flatten(F.array(*found)))).drop(*index.columns)
+    text, *columns = fresh_names(docs, "text", *(f"postings{w}" for w in range(Index(rules).words)))
+    index = Index(rules, columns)
+    df = index.add(docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))), text)
+    empty = F.array().cast(SPANS)
+    found = [F.when(index.candidate(index.queries[r.kind]) & F.col(text).rlike(quick_test(r)), rule_spans(F.col(text), r, i)).otherwise(empty) for i, r in enumerate(rules)]
+    return df.withColumn(free_name(docs, "spans"), F.array_sort(F.flatten(F.array(*found)))).drop(text, *columns)
 
 
 def written(spans: Column) -> Column:
