@@ -164,7 +164,7 @@ def angle(a: str, b: str) -> Column:
 
 
 def cores(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id -> object of members, object -> centre, radius, n, weight).
+    """(id -> object of members, object -> first, centre, radius, n, weight).
 
     Every vector chooses its most crowded own cell; the centre of a cell is
     the direction of the sum of those that chose it, added up as integers in
@@ -174,16 +174,16 @@ def cores(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = vectors.select("id", F.size("unit").alias("dim"), F.explode("cells").alias("cell"))
     crowded = materialise(own.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD), "crowded-cells")
     choice = own.join(crowded, ["dim", "cell"]).groupBy("id").agg(F.max(F.struct("n", "cell")).alias("c"))
-    chosen = materialise(vectors.select("id", "copies", "unit", F.size("unit").alias("dim")).join(choice.select("id", "c.cell"), "id"), "chosen")
+    chosen = materialise(vectors.select("id", "first", "copies", "unit", F.size("unit").alias("dim")).join(choice.select("id", "c.cell"), "id"), "chosen")
     sums = chosen.select("dim", "cell", F.posexplode("unit").alias("at", "x")).groupBy("dim", "cell", "at").agg(F.sum(F.round(F.col("x") * (1 << 30)).cast("bigint")).alias("x"))
     lists = sums.groupBy("dim", "cell").agg(F.sort_array(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("s"))
     centres = lists.select("dim", "cell", F.col("s.x").alias("s")).withColumn("w", F.sqrt(dot("s", "s"))).where("w > 0")
     centres = materialise(centres.select("dim", "cell", F.transform("s", lambda x: x / F.col("w")).alias("centre")), "centres")
     near = chosen.join(centres, ["dim", "cell"]).withColumn("away", angle("unit", "centre")).where(F.col("away") <= ANGLE / 2 - MARGIN)
-    near = materialise(near.select("dim", "cell", "id", "copies", "away"), "core-members")
-    made = near.groupBy("dim", "cell").agg(F.min("id").alias("object"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("weight"), F.max("away").alias("radius")).where("n > 1")
+    near = materialise(near.select("dim", "cell", "id", "first", "copies", "away"), "core-members")
+    made = near.groupBy("dim", "cell").agg(F.min("id").alias("object"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("weight"), F.max("away").alias("radius")).where("n > 1")
     made = materialise(made.join(centres, ["dim", "cell"]), "cores")
-    return near.join(made.select("dim", "cell", "object"), ["dim", "cell"]).select("id", "object"), made.select("object", "centre", "radius", "n", "weight")
+    return near.join(made.select("dim", "cell", "object"), ["dim", "cell"]).select("id", "object"), made.select("object", "first", "centre", "radius", "n", "weight")
 
 
 # -- links -----------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def judged(vectors: DataFrame) -> DataFrame:
     member, core = cores(vectors)
     placed = vectors.join(member, "id", "left").withColumn("object", F.coalesce("object", "id"))
     placed = materialise(placed.join(core.select("object", "n"), "object", "left").withColumn("n", F.coalesce("n", F.lit(1))), "placed")
-    alone = placed.where("n = 1").select("object", F.col("unit").alias("centre"), F.lit(0.0).alias("radius"), "n", F.col("copies").alias("weight"))
+    alone = placed.where("n = 1").select("object", "first", F.col("unit").alias("centre"), F.lit(0.0).alias("radius"), "n", F.col("copies").alias("weight"))
     objects = materialise(core.unionByName(alone), "objects")
     side = lambda k: objects.select(F.col("object").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("centre", "radius", "weight")))
     pairs = meetings(placed).join(side("a"), "a").join(side("b"), "b").where(F.size("a_centre") == F.size("b_centre"))
@@ -267,12 +267,14 @@ def judged(vectors: DataFrame) -> DataFrame:
     edges = partial.select("id", "other").join(object_of, "id").join(object_of.select(F.col("id").alias("other"), F.col("object").alias("b")), "other")
     edges = sure.select("a", "b").union(edges.select(F.col("object").alias("a"), "b"))
     parts = components(objects.select(F.col("object").alias("id")), edges).withColumnRenamed("id", "object")
-    facts = objects.select("object", "weight").join(outside, "object", "left").join(parts, "object")
+    # what a component has in common is found among its objects, of which a
+    # group of near copies is a few, not among its rows
+    facts = materialise(objects.select("object", "first", "weight").join(outside, "object", "left").join(parts, "object"), "object-facts")
+    least = facts.groupBy("component").agg(F.min("first").alias("component_id"))
+    facts = facts.join(least, "component").select("object", "weight", "outside", "component_id")
     links = F.col("weight") - 1 + F.coalesce("outside", F.lit(0)) + F.coalesce("some", F.lit(0))
-    each = placed.select("id", "first", "object").join(facts, "object").join(some, "id", "left")
-    each = materialise(each.select("id", "first", "component", links.cast("bigint").alias("n_links")), "each")
-    least = each.groupBy("component").agg(F.min("first").alias("component_id"))
-    return each.join(least, "component").select("id", "n_links", "component_id")
+    each = placed.select("id", "object").join(facts, "object").join(some, "id", "left")
+    return each.select("id", links.cast("bigint").alias("n_links"), "component_id")
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
