@@ -12,14 +12,19 @@ bit-parallel edit distance.
 
 Pairs are not listed for their own sake: a line only needs one earlier match.
 In every bucket it is first compared with the bucket's earliest members; only
-lines that found no match are then compared with all earlier ones.
+lines that found no match are then compared with all earlier ones.  Where a
+bucket is crowded (thousands of lines that begin alike), these lines are
+compared under keys that take in pieces all over the line instead.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import quoted
 from tidemark.session import materialise, scope
 
 EDITS = 2
@@ -29,6 +34,8 @@ MIN_CHARS = 20
 #: edits turn words into other words ('Le.' into 'As.'), not into near copies.
 EXACT_FROM = 1
 NEAR_FROM = 8
+CROWD = 64
+SPREAD = 4
 FILTER_LOG = 24
 FILTER_BITS = 1 << FILTER_LOG
 #: Groups of characters whose counts are compared before texts are.
@@ -126,10 +133,50 @@ def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return each.select("h", key.alias("key"), F.expr("_d = 0 AND _x = 0").alias("own"))
 
 
+def spread_places(edits: int = EDITS) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(d, g, x): for lines d characters shorter, the places by which the
+    chunks of group g are moved.
+
+    A line is cut into SPREAD * (edits + 1) chunks, dealt in turn to
+    edits + 1 groups.  Two lines within ``edits`` edits agree in all chunks of
+    one group, moved by no more than the edits before, between and after them
+    allow: the moves' steps, the last one up to d included, sum up to at most
+    ``edits``."""
+    moves = [x for x in itertools.product(range(-edits, edits + 1), repeat=SPREAD)]
+    steps = lambda x, d: sum(abs(b - a) for a, b in itertools.pairwise((0, *x, d)))
+    return [(d, g, x) for d in range(edits + 1) for x in moves if steps(x, d) <= edits for g in range(edits + 1)]
+
+
+def spread_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h, key, own of every line, as ``segment_keys``, but a key is a whole
+    group of chunks all over the line: lines that have a long passage in
+    common and differ elsewhere share none.  Chunks are where a line of the
+    shorter length has them; a move beyond a line's end shortens the chunk, and
+    the key then only fails to match or is verified."""
+    n = SPREAD * (edits + 1)
+    table = F.array(*(F.struct(F.lit(d).alias("_d"), F.lit(g).alias("_g"), F.array(*map(F.lit, x)).alias("_x")) for d, g, x in spread_places(edits)))
+    each = let(lines.select("h", "line"), _n=F.char_length("line"), _u=F.encode("line", "UTF-32")).select("h", "_u", "_n", F.inline(table))
+    t = "(_n - _d)"
+    start = lambda c: f"cast(({c}) * {t} div {n} as int)"
+    chunk = []
+    for k in range(SPREAD):
+        low, high = start(f"_g + {k * (edits + 1)}"), start(f"_g + {k * (edits + 1)} + 1")
+        at = f"greatest(0, {low} + _x[{k}])"
+        chunk += [F.expr(f"substring(_u, 4 * {at} + 1, 4 * ({high} - {low}))")]
+    key = F.xxhash64(F.lit(SPREAD), "_g", F.expr(t), *chunk)
+    own = F.expr("_d = 0 AND forall(_x, x -> x = 0)")
+    return each.select("h", key.alias("key"), own.alias("own"))
+
+
 # -- the job ------------------------------------------------------------------------
 ROW = ("_d", "_t")
 
 
+def second_hash(line: str) -> Column:
+    """With ``h`` the 128 bits on which lines are told apart."""
+    return F.xxhash64(F.lit(7), line)
+
+
 def with_row(docs: DataFrame) -> DataFrame:
     """``docs`` with its row's name: doc_id (null sorts first) and a hash of
     the text, so that rows that share a doc_id stay apart.  Rows equal in both
@@ -164,12 +211,12 @@ def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``h`` of later lines that are within EDITS edits of the earlier one of
+    """(h, g) of later lines that are within EDITS edits of the earlier one of
     their pair (h, other)."""
-    left = texts.select("h", F.col("line").alias("_a"))
+    left = texts.select("h", "g", F.col("line").alias("_a"))
     right = texts.select(F.col("h").alias("other"), F.col("line").alias("_b"))
     joined = pairs.join(left, "h").join(right, "other")
-    return joined.where(edit_distance(F.col("_a"), F.col("_b")) <= EDITS).select("h").distinct()
+    return joined.where(edit_distance(F.col("_a"), F.col("_b")) <= EDITS).select("h", "g").distinct()
 
 
 def char_counts(line: Column) -> dict[str, Column]:
@@ -188,14 +235,19 @@ def alike(a: str, b: str) -> Column:
 
 
 def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``h`` of distinct lines that have an earlier line within EDITS edits.
+    """(h, g) of distinct lines that have an earlier line within EDITS edits.
 
-    lines: h, line of any number of copies; firsts: h, first (place of the
-    first copy); different lines of one h share the earliest place here, for
-    the texts decide.  Keys are made twice: once to
+    lines: h, line of any number of copies; firsts: h, g, first (place of the
+    first copy).  A line is h and g together; should two lines share h, the
+    smaller one is compared and the other stays.  Keys are made twice: once to
     count, map-side, which buckets two lines share, and once to keep the rows
     of those buckets alone.  Pairs whose character counts differ too much are
-    not formed."""
+    not formed.
+
+    In every bucket all lines are first compared with its earliest members.
+    Those without a match are compared with all earlier ones of the bucket if
+    it has at most CROWD members; lines of larger ones are compared under
+    their spread keys."""
     keyed = segment_keys(lines.select("h", "line"))
     shared = keyed.groupBy("key").agg(F.max("own").alias("_any"), F.min("h").alias("_l"), F.max("h").alias("_u")).where("_any and _l < _u").select("key")
     shared = materialise(shared, "line-buckets")
@@ -203,25 +255,45 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     members = materialise(members, "line-shared")
     ids = materialise(members.select("h").distinct(), "line-ids")
     # an inner join, for Spark would move a semi join below the bit table
-    texts = materialise(likely(lines, ids, "h").join(ids, "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
-    place = likely(firsts.select("h", "first"), ids, "h").groupBy("h").agg(F.min("first").alias("first"))
-    facts = let(texts, **char_counts(F.col("line"))).drop("line").join(place, "h")
+    texts = likely(lines, ids, "h").join(ids, "h").groupBy("h").agg(F.min("line").alias("line"))
+    texts = materialise(texts.select("h", second_hash("line").alias("g"), "line"), "line-texts")
+    place = likely(firsts.select("h", "g", "first"), ids, "h")
+    facts = let(texts, **char_counts(F.col("line"))).drop("line").join(place, ["h", "g"]).drop("g")
+    facts = materialise(facts, "line-facts")
     counts = [f"_c{i}" for i in range(len(GROUPS))]
-    placed = materialise(members.join(materialise(facts, "line-facts"), "h"), "line-members")
+    placed = materialise(members.join(facts, "h"), "line-members")
     # the earliest entry and the earliest member of every bucket
     each = F.struct("first", "h", *counts)
-    hubs = placed.groupBy("key").agg(F.min(F.when(F.col("own"), each)).alias("_o"), F.min(each).alias("_p"))
-    hubs = materialise(hubs.where("_o is not null").select("key", F.col("_o.first").alias("_of"), F.col("_o.h").alias("_oh"), *(F.col(f"_o.{c}").alias(f"_o{c}") for c in counts), F.col("_p.first").alias("_pf"), F.col("_p.h").alias("_ph"), *(F.col(f"_p.{c}").alias(f"_p{c}") for c in counts)), "line-hubs")
+    hubs = placed.groupBy("key").agg(F.min(F.when(F.col("own"), each)).alias("_o"), F.min(each).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    facts_of = lambda side: (F.col(f"{side}.first").alias(f"{side}f"), F.col(f"{side}.h").alias(f"{side}h"), *(F.col(f"{side}.{c}").alias(f"{side}{c}") for c in counts))
+    hubs = materialise(hubs.where("_o is not null").select("key", "_n", *facts_of("_o"), *facts_of("_p")), "line-hubs")
     at = placed.join(hubs, "key")
     by_entry = at.where((F.col("_of") < F.col("first")) & alike("", "_o")).select("h", F.col("_oh").alias("other"))
     by_probe = at.where(F.col("own") & (F.col("_pf") < F.col("first")) & alike("", "_p")).select("h", F.col("_ph").alias("other"))
     found = materialise(verified(by_entry.unionByName(by_probe).distinct(), texts), "line-found")
     # lines without a match yet, against all earlier members of their buckets
-    rest = materialise(placed.join(found, "h", "left_anti").join(hubs.select("key", "_oh", "_ph"), "key"), "line-rest")
-    other = placed.select(F.col("key").alias("_key"), F.col("h").alias("other"), F.col("first").alias("_f"), F.col("own").alias("_own"), *(F.col(c).alias(f"_x{c}") for c in counts))
-    earlier = (F.col("_f") < F.col("first")) & (F.col("own") | F.col("_own")) & (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph"))
-    pairs = rest.join(other, (F.col("key") == F.col("_key")) & earlier & alike("", "_x")).select("h", "other").distinct()
-    return found.unionByName(verified(pairs, texts)).distinct()
+    rest = placed.join(found, "h", "left_anti").join(hubs.select("key", "_oh", "_ph", "_n"), "key")
+    rest = materialise(rest.where(F.col("h") != F.col("_ph")), "line-rest")
+    small = earlier_pairs(rest.where(F.col("_n") <= CROWD).drop("_n"), placed, (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph")))
+    crowds = materialise(rest.where(F.col("_n") > CROWD).select("key").distinct(), "line-crowds")
+    if crowds.isEmpty():
+        pairs = small
+    else:
+        inside = materialise(placed.join(crowds, "key").select("h").distinct(), "line-crowded")
+        again = spread_keys(texts.join(inside, "h").select("h", "line")).groupBy("key", "h").agg(F.max("own").alias("own"))
+        again = materialise(again.join(facts, "h"), "line-spread")
+        open_ = rest.where(F.col("_n") > CROWD).select("h").distinct()
+        pairs = small.union(earlier_pairs(again.join(open_, "h"), again, F.lit(True)))
+    return found.unionByName(verified(pairs.distinct(), texts)).distinct()
+
+
+def earlier_pairs(rest: DataFrame, members: DataFrame, also: Column) -> DataFrame:
+    """(h, other): lines of ``rest`` with all earlier members of their buckets
+    that one of the two owns and that their character counts allow."""
+    counts = [f"_c{i}" for i in range(len(GROUPS))]
+    other = members.select(F.col("key").alias("_key"), F.col("h").alias("other"), F.col("first").alias("_f"), F.col("own").alias("_own"), *(F.col(c).alias(f"_x{c}") for c in counts))
+    earlier = (F.col("key") == F.col("_key")) & (F.col("_f") < F.col("first")) & (F.col("own") | F.col("_own"))
+    return rest.join(other, earlier & also & alike("", "_x")).select("h", "other").distinct()
 
 
 def decisions(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
@@ -230,50 +302,73 @@ def decisions(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
     points at least, near ones ``near_from`` (not less than EDITS + 1)."""
     lines = lines_of(docs, exact_from)
     # equality is decided on 128 bits of hash
-    known = materialise(lines.select("h", F.xxhash64(F.lit(7), "line").alias("g"), *ROW, "pos"), "line-places")
+    known = materialise(lines.select("h", second_hash("line").alias("g"), *ROW, "pos"), "line-places")
     place = F.struct(*ROW, "pos")
     firsts = materialise(known.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("_last")), "line-firsts")
     near = materialise(near_copies(lines.where(F.char_length("line") >= near_from).select("h", "line"), firsts), "line-near")
     repeated = materialise(firsts.where("first <> _last").select("h", "g", "first"), "line-repeated")
     exact = likely(known, repeated, "h").join(repeated, ["h", "g"]).where(place > F.col("first")).select(*ROW, "pos", F.lit(True).alias("exact"))
-    fresh = likely(firsts, near, "h").join(near, "h").select("first.*", F.lit(False).alias("exact"))
+    fresh = likely(firsts, near, "h").join(near, ["h", "g"]).select("first.*", F.lit(False).alias("exact"))
     return exact.unionByName(fresh)
 
 
 def marked(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
-    """``docs`` with _exact and _near: positions of the lines that go."""
+    """_row (all columns of ``docs``), _text, _exact, _near: positions of the
+    lines that go."""
     with scope(docs.sparkSession) as keep:
-        per = decisions(docs.select("doc_id", "text"), exact_from, near_from).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("_exact"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("_near"))
+        at = lambda exact: F.sort_array(F.collect_set(F.when(F.col("exact") == exact, F.col("pos"))))
+        per = decisions(docs.select("doc_id", "text"), exact_from, near_from).groupBy(*ROW).agg(at(True).alias("_exact"), at(False).alias("_near"))
         per = keep(per, "line-drops")
     empty = F.array().cast("array<int>")
-    joined = with_row(docs).join(per, list(ROW), "left")
-    return joined.withColumn("_exact", F.coalesce("_exact", empty)).withColumn("_near", F.coalesce("_near", empty)).drop(*ROW)
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    joined = with_row(held).join(per, list(ROW), "left")
+    return joined.select("_row", F.col("text").alias("_text"), F.coalesce("_exact", empty).alias("_exact"), F.coalesce("_near", empty).alias("_near"))
 
 
 def cleaned_text() -> Column:
-    """The text without the lines in _exact and _near; null stays null."""
-    gone = F.concat("_exact", "_near")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    """The text without the lines in _exact and _near; null stays null.  What
+    lies between two such lines is one slice, so a text is one pass however
+    many lines it loses."""
+    gone = F.array_sort(F.array_distinct(F.concat("_exact", "_near")))
+
+    def between(lines: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+
+    kept = F.get(F.transform(F.array(F.split("_text", "\n")), between), F.lit(0))
+    return F.when(F.size("_exact") + F.size("_near") > 0, F.array_join(kept, "\n")).otherwise(F.col("_text"))
 
 
 def dedup_lines(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out; rows that lose lines and have
-    no word left go, all other rows stay."""
-    done = marked(docs, exact_from, near_from).withColumn("text", cleaned_text())
+    no word left go, all other rows stay.
+
+    The first line by doc_id (null first), then text hash and place, stays;
+    rows equal in doc_id and text are one row to the comparison and keep the
+    same lines.  Null and empty texts stay as they are; texts and lines may be
+    of any length.  Other columns stay as they are, whatever their names, but
+    ``n_chars``, which is counted again."""
+    done = let(marked(docs, exact_from, near_from), _clean=cleaned_text())
     lost = F.size("_exact") + F.size("_near") > 0
-    blank = F.trim(F.col("text"), F.lit(TRIM)) == ""
-    out = done.where(~(lost & F.coalesce(blank, F.lit(True)))).drop("_exact", "_near")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    blank = F.trim(F.col("_clean"), F.lit(TRIM)) == ""
+    out = done.where(~(lost & F.coalesce(blank, F.lit(True))))
+    types, columns = dict(docs.dtypes), []
+    for c in docs.columns:
+        own = F.col(f"_row.{quoted(c)}")
+        if c == "text":
+            own = F.col("_clean")
+        elif c == "n_chars":
+            own = F.when(F.col("_clean").isNull(), own).otherwise(F.char_length("_clean").cast(types[c]))
+        columns.append(own.alias(c))
+    return out.select(*columns)
 
 
 def report(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_chars_kept, kept_sha256 of every row."""
-    done = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), exact_from, near_from)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    done = marked(docs, exact_from, near_from)
     text = F.coalesce(cleaned_text(), F.lit(""))
     return done.select(
-        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.size("_exact").cast("bigint").alias("n_exact"), F.size("_near").cast("bigint").alias("n_near"),
+        "_row.doc_id", F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.size("_exact").cast("bigint").alias("n_exact"), F.size("_near").cast("bigint").alias("n_near"),
         F.char_length(text).cast("bigint").alias("n_chars_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
     )
