@@ -77,6 +77,26 @@ def test_boilerplate_kinds_go():
     assert html_text.labeller().texts([page]) == [f"The river\n{prose}\n{prose}\nOne thing."]
 
 
+PROSE = "Over the hill the river bends and the old mill stands near it. Nobody has lived there for years."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("plain text with no tags at all", "plain text with no tags at all"),
+        (f"<div class='wrap'><div class='x1'><p>{PROSE}</p><p>{PROSE}</p></div><div class='x2'><a href='/a'>Home</a> <a href='/b'>News</a> <a href='/c'>Contact</a></div></div>", f"{PROSE}\n{PROSE}"),
+        (
+            f"<html><body><div class='container'><div class='row'><div class='col-md-8'><h1>The river</h1><p>{PROSE}</p><p>{PROSE}</p></div>"
+            "<div class='col-md-4'><h4>Recent posts</h4><ul><li><a href='/1'>One story</a></li><li><a href='/2'>Two stories</a></li></ul></div></div></div></body></html>",
+            f"The river\n{PROSE}\n{PROSE}",
+        ),
+        (f"<main><h1>River</h1><table><tr><th>Length</th><td>100 km</td></tr><tr><th>Country</th><td>Nowhere</td></tr></table><p>{PROSE}</p></main>", f"River\nLength\n100 km\nCountry\nNowhere\n{PROSE}"),
+    ],
+)
+def test_pages_written_by_hand(page, want):
+    assert html_text.labeller().texts([page]) == [want]
+
+
 def test_packed_network_is_the_plain_one():
     """Pages side by side give what each gives alone."""
     writer = html_train.Writer(5)

@@ -270,8 +270,12 @@ def labeller() -> Labeller:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row.  A null page has the empty
-    text; rows are independent, so nothing is shuffled."""
+    """page_id, url, text, n_chars of every row.
+
+    A null or empty page has the empty text; a page of any length is read as a
+    whole.  Rows are independent, repeated ones too: nothing is shuffled.
+    Other columns are not read.  A block whose score is exactly one half is
+    main text."""
 
     def run(batches):
         tool = labeller()

@@ -89,10 +89,29 @@ class Writer:
                 text = r.choice(["&copy; ", "© 2024 ", ""]) + self.word() + r.choice([".example.com &middot; ", " "]) + text
             inside = r.choice(["{}", "<p>{}</p>", "<span>{}</span>", "<div><p>{}</p></div>"]).format(text)
         form = r.choice(KINDS[kind])
-        if r.random() < 0.1:  # no telling name
-            form = "<div class='" + self.word() + "'>{}</div>" if kind in ("nav", "form") else form
+        # no telling name, where links, words or fields give the block away
+        if r.random() < 0.3 and (kind in ("nav", "form", "share", "footer") or (kind in ("aside", "header") and "<a " in inside)):
+            form = "<div" + self.blank_name() + ">{}</div>"
         return form.format(inside)
 
+    def blank_name(self) -> str:
+        """A class that says nothing: none, a random word, a grid or generated one."""
+        r = self.r
+        name = r.choice([self.word(), f"col-{r.choice(['md', 'sm', 'lg', 'xs'])}-{r.randint(1, 12)}", f"x{r.randint(1, 9)}", f"css-{r.randrange(16**6):06x}", "row", "inner", "block", "box", "wrap", "left", "right", "column"])
+        return r.choice(["", f" class='{name}'", f" class='{name}'", f" id='{name}'"])
+
+    def table(self) -> str:
+        """Facts in rows."""
+        cell = self.r.choice(["<td>{}</td>", "<td><p>{}</p></td>"])
+        row = lambda: "<tr><th>" + MARK + self.word().capitalize() + "</th>" + cell.format(MARK + self.sentence(1, 4)[:-1]) + "</tr>"
+        return "<table>" + "".join(row() for _ in range(self.r.randint(2, 6))) + "</table>"
+
+    def bare(self) -> str:
+        """A page of text with few tags or none."""
+        r = self.r
+        parts = [MARK + self.prose(r.choice([1, 3, 8])) for _ in range(r.randint(1, 5))]
+        return r.choice(["{}", "<body>{}", "<html><body>{}</body></html>", "<pre>{}</pre>"]).format(r.choice(["\n", "<br><br>", "<p>", "\n\n"]).join(parts))
+
     def main(self) -> str:
         r, out = self.r, []
         style = self.junk if r.random() < 0.12 else lambda: self.prose(r.choice([1, 3, 8]))
@@ -117,29 +136,40 @@ class Writer:
                 out.append(f"<p>{MARK}{self.prose(1)} <a href='/x'>{self.word()} {self.word()}</a> {self.sentence()}</p>")
             else:
                 out.append(f"<pre>{MARK}{self.prose(1)}</pre>" if r.random() < 0.5 else f"<div>{MARK}{self.prose(3)}</div>")
+            if r.random() < 0.03:
+                out.append(self.table())
             if r.random() < 0.05:
                 out.append(self.plate(r.choice(["ad", "share", "aside", "notice", "form"])))
-        return r.choice(MAINS).format("".join(out))
+        form = r.choice(MAINS)
+        if r.random() < 0.25:
+            form = r.choice(["<div{}>", "<div><div{}>", "<section{}>"]).format(self.blank_name())
+            form += "{}" + "".join(f"</{t}>" for t in (["section"] if "section" in form else ["div"] * form.count("<div")))
+        return form.format("".join(out))
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.05:
+            return self.bare()
         before = [self.plate(k) for k in ("nav", "header", "notice", "ad", "form", "aside", "nav") if r.random() < 0.4]
         after = [self.plate(k) for k in ("share", "comments", "aside", "ad", "form", "notice", "nav") if r.random() < 0.3]
-        if r.random() < 0.4:
-            before = [f"<nav>{self.links('nav')}</nav><!-- ad -->", f"<div class='ad'>{self.sentence()}</div>"]
-            after = []
         r.shuffle(before)
         if r.random() < 0.8:
             after.append(self.plate("footer"))
         core = self.main()
         if r.random() < 0.08:
             core = ""  # a page without an article
+        if r.random() < 0.2:  # columns side by side
+            sides = [f"<div{self.blank_name()}>{self.plate('aside') if r.random() < 0.5 else '<h4>' + self.sentence(1, 4)[:-1] + '</h4>' + self.links('nav')}</div>"]
+            columns = [f"<div{self.blank_name()}>{core}</div>", *sides]
+            r.shuffle(columns)
+            core = f"<div{self.blank_name()}>{''.join(columns)}</div>"
         body = "".join(before) + core + "".join(after)
         if r.random() < 0.2:
             body = f"<div class='{r.choice(['container', 'wrapper', 'page'])}'>{body}</div>"
         if r.random() < 0.1:
             body = f"<table><tr>{body}</tr></table>"
-        text = f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{self.sentence()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{body}"
+        head = r.choice(["<meta charset='utf-8'>", "", "<link rel='stylesheet' href='s.css'>"]) + r.choice(["", "<style>a{color:red}</style>", "<script>f('<b>')</script>"])
+        text = f"<!DOCTYPE html><html lang='en'><head>{head}<title>{self.sentence()}</title></head><body>{body}"
         return text + ("" if r.random() < 0.1 else "</body></html>")
 
 
@@ -199,7 +229,7 @@ def _back(x, kept, dout, w, u):
     return dw, du, db, dx
 
 
-def train(n_pages: int = 6000, epochs: int = 6, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
+def train(n_pages: int = 8000, epochs: int = 6, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on the mean cross entropy of blocks."""
     writer = Writer(seed)
     data = [p for p in (labelled(writer.page()) for _ in range(n_pages)) if len(p[0])]
