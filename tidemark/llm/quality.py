@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import WORD, map_arrow
+from tidemark.llm.common import WORD, map_arrow, quoted
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_alpha_words", "n_distinct_words", "n_ellipsis_lines", "n_bullet_lines"]
-SCHEMA = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
+MEASURED = ", ".join(f"{m} bigint" for m in MEASURES)
 
 
 @dataclass(frozen=True)
@@ -109,9 +110,11 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
 
 
 def _measure(batches):
+    """Column ``text`` goes, the measurements come behind the other columns."""
     for batch in batches:
         rows = np.array([measure(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], ["doc_id", *MEASURES])
+        held = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], [*held, *MEASURES])
 
 
 def failure_bits() -> Column:
@@ -125,10 +128,19 @@ def failure_bits() -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``bits`` of every row; no shuffle.
 
-    Rows are taken as they come: a repeated doc_id gives repeated rows, a null
-    text counts as empty (it fails few_words), other columns are not read."""
+    Rows are taken as they come: repeated rows, repeated and null doc_ids give
+    rows of their own, a null or empty text has no words (it fails few_words),
+    texts may be of any length, other columns are not read."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(source, _measure, SCHEMA).withColumn("bits", failure_bits())
+    return map_arrow(source, _measure, f"doc_id bigint, {MEASURED}").withColumn("bits", failure_bits())
+
+
+def store(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger of ``docs`` written under ``path`` and read back: policies
+    and ablations of any later day start from it, not from the texts."""
+    led = ledger(docs)
+    led.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(led.schema).parquet(path)
 
 
 def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -150,27 +162,10 @@ def ablations(led: DataFrame) -> DataFrame:
 def filter_rejected(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, all columns, that the policy keeps.
 
-    Text and measurements stay in one row, so nothing is joined or shuffled."""
-    fields = [f for f in docs.schema.fields]
-    small = docs.select(*docs.columns)
-    mask = POLICIES[version]
-
-    def keep(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter(pa.array([not (bits_of(measure(t)) & mask) for t in texts], pa.bool_()))
-
-    from pyspark.sql.types import StructType
-
-    return map_arrow(small, keep, StructType(fields))
-
-
-_COMPILED: list[tuple[int, object]] = []
-
-
-def bits_of(row: tuple[int, ...]) -> int:
-    """The failure bits of one row of measurements, as ``failure_bits`` has them."""
-    if not _COMPILED:
-        _COMPILED.extend((1 << r.bit, compile(r.fails.replace("AND", "and"), r.name, "eval")) for r in RULES)
-    names = dict(zip(MEASURES, row, strict=True))
-    return sum(bit for bit, code in _COMPILED if eval(code, {}, names))  # noqa: S307  the rules above
+    Row, measurements and bits stay together, so nothing is joined or
+    shuffled; the rules are those of the ledger.  Nulls, empty and long texts
+    and repeated rows as in ``ledger``; columns may have any names."""
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([held.schema["_row"], *(StructField(m, LongType()) for m in MEASURES)])
+    kept = map_arrow(held, _measure, schema).where(failure_bits().bitwiseAND(F.lit(POLICIES[version])) == 0)
+    return kept.select("_row.*")
