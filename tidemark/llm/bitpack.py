@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import groups, map_arrow
 from tidemark.operators.ordered import range_bounds
-from tidemark.session import materialise, scratch_path
+from tidemark.session import materialise, remove, scope, scratch_path
 
 MAGIC = b"TMBP0001"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
+#: Source bytes of a range of documents, and from where on an estimate says nothing.
+RANGE_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 55
 CACHE_WORDS = 200_000
 CACHE_RUNS = 400_000
 
@@ -268,6 +271,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def range_count(docs: DataFrame) -> int:
+    """Ranges of doc_id: as many as shuffle partitions, or one for each
+    RANGE_BYTES of the source by Spark's estimate where that is more, so that
+    a task's share does not grow with the input."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // RANGE_BYTES) if size < UNKNOWN_BYTES else least
+
+
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode (doc_id, text) and write id files under ``folder``.
 
@@ -280,7 +292,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, file_id
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(docs)
     bounds = np.asarray(range_bounds(docs, "doc_id", parts), np.int64)
 
     def encode(batches):
@@ -353,6 +365,15 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write every document's ids and read them back from the files."""
-    folder = scratch_path(docs.sparkSession, "ids")
-    return read_ids(write_ids(docs, tokenizer, folder, end_id), folder)
+    """doc_id, start, n_tokens, ids_crc32 of every row: all ids are written to
+    files, which are read back and deleted.
+
+    A null or empty text is the end id alone; texts may be of any length.
+    Repeated rows and rows that share a doc_id or have none stay apart, as
+    ``write_ids`` orders them.  Other columns are not read."""
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "ids")
+    with scope(spark) as keep:
+        found = keep(read_ids(write_ids(docs, tokenizer, folder, end_id), folder), "read-ids")
+        remove(spark, folder)
+    return found
