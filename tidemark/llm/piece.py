@@ -288,8 +288,9 @@ def pieces(path: str) -> Pieces:
 def encode_texts(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """Every row's ids (begin and end included) and their decoded text:
     columns ``keep``, ids array<int>, decoded string.  A null text counts as
-    the empty one, whose ids are begin and end alone.  Rows are independent;
-    no shuffle."""
+    the empty one, whose ids are begin and end alone; texts and words may be of
+    any length.  Rows are independent, repeated ones too; no shuffle.  Columns
+    not in ``keep`` are not read; ``keep`` names neither ids nor decoded."""
     keep = keep or ["doc_id"]
 
     def run(batches):
@@ -310,7 +311,8 @@ def encode_texts(docs: DataFrame, model: str, keep: list[str] | None = None) ->
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, texts as in
+    ``encode_texts``; other columns are not read."""
 
     def run(batches):
         tool = pieces(model)
