@@ -148,14 +148,15 @@ def spread_places(edits: int = EDITS) -> list[tuple[int, int, tuple[int, ...]]]:
 
 
 def spread_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """h, key, own of every line, as ``segment_keys``, but a key is a whole
-    group of chunks all over the line: lines that have a long passage in
+    """key, own and all columns but the line of every line, as
+    ``segment_keys``, but a key is a whole group of chunks all over the line: lines that have a long passage in
     common and differ elsewhere share none.  Chunks are where a line of the
     shorter length has them; a move beyond a line's end shortens the chunk, and
     the key then only fails to match or is verified."""
     n = SPREAD * (edits + 1)
     table = F.array(*(F.struct(F.lit(d).alias("_d"), F.lit(g).alias("_g"), F.array(*map(F.lit, x)).alias("_x")) for d, g, x in spread_places(edits)))
-    each = let(lines.select("h", "line"), _n=F.char_length("line"), _u=F.encode("line", "UTF-32")).select("h", "_u", "_n", F.inline(table))
+    held = [c for c in lines.columns if c != "line"]
+    each = let(lines, _n=F.char_length("line"), _u=F.encode("line", "UTF-32")).select(*held, "_u", "_n", F.inline(table))
     t = "(_n - _d)"
     start = lambda c: f"cast(({c}) * {t} div {n} as int)"
     chunk = []
@@ -165,7 +166,7 @@ def spread_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         chunk += [F.expr(f"substring(_u, 4 * {at} + 1, 4 * ({high} - {low}))")]
     key = F.xxhash64(F.lit(SPREAD), "_g", F.expr(t), *chunk)
     own = F.expr("_d = 0 AND forall(_x, x -> x = 0)")
-    return each.select("h", key.alias("key"), own.alias("own"))
+    return each.select(*held, key.alias("key"), own.alias("own"))
 
 
 # -- the job ------------------------------------------------------------------------
@@ -279,11 +280,12 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     if crowds.isEmpty():
         pairs = small
     else:
-        inside = materialise(placed.join(crowds, "key").select("h").distinct(), "line-crowded")
-        again = spread_keys(texts.join(inside, "h").select("h", "line")).groupBy("key", "h").agg(F.max("own").alias("own"))
-        again = materialise(again.join(facts, "h"), "line-spread")
-        open_ = rest.where(F.col("_n") > CROWD).select("h").distinct()
-        pairs = small.union(earlier_pairs(again.join(open_, "h"), again, F.lit(True)))
+        inside = placed.join(crowds, "key").select("h").distinct()
+        open_ = rest.where(F.col("_n") > CROWD).select("h", F.lit(True).alias("open")).distinct()
+        # facts are joined to lines, not to the keys that are made of them
+        again = texts.select("h", "line").join(inside, "h").join(facts, "h").join(open_, "h", "left")
+        again = materialise(spread_keys(again), "line-spread")
+        pairs = small.union(earlier_pairs(again.where("open"), again, F.lit(True)))
     return found.unionByName(verified(pairs.distinct(), texts)).distinct()
 
 
