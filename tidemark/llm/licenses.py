@@ -15,6 +15,7 @@ what is sent to the tasks.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 
@@ -185,9 +186,32 @@ def longs(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("bigint") for v in values))
 
 
+class Bands:
+    """The index of one size class's templates: band hash -> templates.  All
+    of it are constants, folded once, and asked by hash set and map."""
+
+    def __init__(self, rows: list[tuple[str, list[int], list[int]]]):
+        table: dict[int, list[int]] = {}
+        for t, (_, _, own) in enumerate(rows):
+            for h in own:
+                held = table.setdefault(h, [])
+                if t not in held:
+                    held.append(t)
+        self.hashes = [F.lit(h).cast("bigint") for h in table]
+        entries = itertools.chain.from_iterable((F.lit(h).cast("bigint"), F.array(*map(F.lit, ts))) for h, ts in table.items())
+        self.table = F.create_map(*entries)
+        self.templates = F.array(*(F.struct(F.lit(name).alias("name"), longs(hashes).alias("h")) for name, hashes, _ in rows))
+
+    def retrieve(self, sig: Column) -> Column:
+        """The templates that share a band with a signature, in order."""
+        known = F.filter(sig, lambda h: h.isin(self.hashes))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(known, lambda h: F.element_at(self.table, h)))))
+
+
 def windows_of(size: int, rows: list[tuple[str, list[int], list[int]]], match: str) -> Column:
     """Verified matches of one size class's templates, over _h and _i."""
     stride, length = window(size)
+    bands = Bands(rows)
 
     def over(i: Column) -> Column:
         return F.sequence(F.greatest(F.lit(0), F.floor((i - length) / stride).cast("int") + 1), F.floor(i / stride).cast("int"))
@@ -195,16 +219,12 @@ def windows_of(size: int, rows: list[tuple[str, list[int], list[int]]], match: s
     def one(w: Column) -> Column:
         part = F.slice(F.col("_h"), (w * stride + 1).cast("int"), length)
 
-        def tests(sig: Column) -> Column:
-            out = []
-            for name, hashes, own in rows:
-                contained = F.size(F.array_intersect(longs(hashes), part)) / F.lit(len(hashes))
-                made = F.struct(F.lit(name).alias("name"), (w * stride).cast("int").alias("start"), contained.cast("double").alias("contained"))
-                out.append(F.when(F.arrays_overlap(sig, longs(own)) & (contained >= CONTAINMENT), made))
-            return F.array_compact(F.array(*out))
+        def test(t: Column) -> Column:
+            own = F.get(bands.templates, t)
+            contained = F.size(F.array_intersect(own["h"], part)) / F.size(own["h"])
+            return F.struct(own["name"].alias("name"), (w * stride).cast("int").alias("start"), contained.cast("double").alias("contained"))
 
-        # an array of one element stands for a variable: one signature a window
-        return F.flatten(F.transform(F.array(signature(part)), tests))
+        return F.filter(F.transform(bands.retrieve(signature(part)), test), lambda m: m["contained"] >= CONTAINMENT)
 
     # every window that holds a template shingle
     at = F.array_distinct(F.flatten(F.transform(F.col("_i"), over)))
