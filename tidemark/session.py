@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -110,7 +112,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_tidemark_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    folder = tempfile.mkdtemp(prefix="tidemark-code-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file as long as it lives
+    target = Path(folder) / "tidemark_code.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for f in sorted(root.rglob("*")):
             if f.is_file() and "__pycache__" not in f.parts:
