@@ -37,7 +37,7 @@ def close(a, b, k):
     return max(len(a), len(b)) <= k or (len(a) <= 400 and distance(a, b) <= k)
 
 
-def plain_dedup(rows):
+def plain_dedup(rows, edits):
     """doc row number -> (exact, near) positions that go."""
     first, out = {}, defaultdict(lambda: ([], []))
     places = []
@@ -52,7 +52,7 @@ def plain_dedup(rows):
         if line in first:
             out[d][0].append(pos)
             continue
-        if any(close(line, other, linededup.EDITS) for n in range(len(line) - linededup.EDITS, len(line) + linededup.EDITS + 1) for other in by_length[n]):
+        if any(close(line, other, edits) for n in range(len(line) - edits, len(line) + edits + 1) for other in by_length[n]):
             out[d][1].append(pos)
         first[line] = (d, pos)
         by_length[len(line)].append(line)
@@ -74,15 +74,15 @@ def variants(r, line, n):
     return "".join(out)
 
 
-def check_lines(spark, rows):
-    plain = plain_dedup(rows)
+def check_lines(spark, rows, edits=linededup.EDITS):
+    plain = plain_dedup(rows, edits)
     want = []
     for d, t in rows:
         exact, near = plain[d]
         gone = {*exact, *near}
         kept = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)
         want.append((d, len(t.split("\n")) if t is not None else 0, len(exact), len(near), len(kept), hashlib.sha256(kept.encode()).hexdigest()))
-    got = [tuple(r) for r in linededup.report(docs(spark, rows)).collect()]
+    got = [tuple(r) for r in linededup.report(docs(spark, rows), edits=edits).collect()]
     assert sorted(got) == sorted(want)
     return sum(w[3] for w in want)
 
@@ -116,9 +116,9 @@ def test_one_segment_in_many_lines(spark, monkeypatch):
     assert check_lines(spark, [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(17)]) >= 5
     made, verified = [], linededup.verified
 
-    def counted(pairs, texts):
+    def counted(pairs, texts, edits):
         made.append(pairs.count())
-        return verified(pairs, texts)
+        return verified(pairs, texts, edits)
 
     monkeypatch.setattr(linededup, "verified", counted)
     counts = []
@@ -129,6 +129,17 @@ def test_one_segment_in_many_lines(spark, monkeypatch):
     assert counts[0] < 20 * 1000 and counts[1] <= 2.5 * counts[0]
 
 
+def test_other_edit_limits(spark, texts):
+    r = random.Random(12)
+    base = [" ".join(texts.words(r.randint(5, 9))) for _ in range(30)]
+    lines = base + [variants(r, x, n) for x in base for n in (1, 3, 4, 5, 6)] + permuted(r, 90)
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 9 : i * 9 + 9])) for i in range((len(lines) + 8) // 9)]
+    assert check_lines(spark, rows, edits=1) < check_lines(spark, rows, edits=4)
+    with pytest.raises(ValueError, match="segment"):
+        linededup.report(docs(spark, rows), near_from=2)
+
+
 def test_a_text_that_loses_many_lines(spark):
     line = "the same line again and again"
     kept = [f"a line of its own {hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(300)]

@@ -211,13 +211,13 @@ def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return joined.where(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, g) of later lines that are within EDITS edits of the earlier one of
-    their pair (h, other)."""
+def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h, g) of later lines that are within ``edits`` edits of the earlier one
+    of their pair (h, other)."""
     left = texts.select("h", "g", F.col("line").alias("_a"))
     right = texts.select(F.col("h").alias("other"), F.col("line").alias("_b"))
     joined = pairs.join(left, "h").join(right, "other")
-    return joined.where(edit_distance(F.col("_a"), F.col("_b")) <= EDITS).select("h", "g").distinct()
+    return joined.where(edit_distance(F.col("_a"), F.col("_b"), edits) <= edits).select("h", "g").distinct()
 
 
 def char_counts(line: Column) -> dict[str, Column]:
@@ -227,16 +227,16 @@ def char_counts(line: Column) -> dict[str, Column]:
     return {f"_c{i}": size - F.char_length(F.translate(line, g, "")) for i, g in enumerate(GROUPS)}
 
 
-def alike(a: str, b: str) -> Column:
-    """Whether character counts allow EDITS edits."""
+def alike(a: str, b: str, edits: int = EDITS) -> Column:
+    """Whether character counts allow ``edits`` edits."""
     apart = F.lit(0)
     for i in range(len(GROUPS)):
         apart = apart + F.abs(F.col(f"{a}_c{i}") - F.col(f"{b}_c{i}"))
-    return apart <= 2 * EDITS
+    return apart <= 2 * edits
 
 
-def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, g) of distinct lines that have an earlier line within EDITS edits.
+def near_copies(lines: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h, g) of distinct lines that have an earlier line within ``edits`` edits.
 
     lines: h, line of any number of copies; firsts: h, g, first (place of the
     first copy).  A line is h and g together; should two lines share h, the
@@ -249,7 +249,7 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     Those without a match are compared with all earlier ones of the bucket if
     it has at most CROWD members; lines of larger ones are compared under
     their spread keys."""
-    keyed = segment_keys(lines.select("h", "line"))
+    keyed = segment_keys(lines.select("h", "line"), edits)
     shared = keyed.groupBy("key").agg(F.max("own").alias("_any"), F.min("h").alias("_l"), F.max("h").alias("_u")).where("_any and _l < _u").select("key")
     shared = materialise(shared, "line-buckets")
     members = likely(keyed, shared, "key").groupBy("key", "h").agg(F.max("own").alias("own")).join(shared, "key")
@@ -269,13 +269,14 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     facts_of = lambda side: (F.col(f"{side}.first").alias(f"{side}f"), F.col(f"{side}.h").alias(f"{side}h"), *(F.col(f"{side}.{c}").alias(f"{side}{c}") for c in counts))
     hubs = materialise(hubs.where("_o is not null").select("key", "_n", *facts_of("_o"), *facts_of("_p")), "line-hubs")
     at = placed.join(hubs, "key")
-    by_entry = at.where((F.col("_of") < F.col("first")) & alike("", "_o")).select("h", F.col("_oh").alias("other"))
-    by_probe = at.where(F.col("own") & (F.col("_pf") < F.col("first")) & alike("", "_p")).select("h", F.col("_ph").alias("other"))
-    found = materialise(verified(by_entry.unionByName(by_probe).distinct(), texts), "line-found")
+    by_entry = at.where((F.col("_of") < F.col("first")) & alike("", "_o", edits)).select("h", F.col("_oh").alias("other"))
+    by_probe = at.where(F.col("own") & (F.col("_pf") < F.col("first")) & alike("", "_p", edits)).select("h", F.col("_ph").alias("other"))
+    found = materialise(verified(by_entry.unionByName(by_probe).distinct(), texts, edits), "line-found")
     # lines without a match yet, against all earlier members of their buckets
     rest = placed.join(found, "h", "left_anti").join(hubs.select("key", "_oh", "_ph", "_n"), "key")
     rest = materialise(rest.where(F.col("h") != F.col("_ph")), "line-rest")
-    small = earlier_pairs(rest.where(F.col("_n") <= CROWD).drop("_n"), placed, (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph")))
+    others = (F.col("other") != F.col("_oh")) & (F.col("other") != F.col("_ph"))
+    small = earlier_pairs(rest.where(F.col("_n") <= CROWD).drop("_n"), placed, others, edits)
     crowds = materialise(rest.where(F.col("_n") > CROWD).select("key").distinct(), "line-crowds")
     if crowds.isEmpty():
         pairs = small
@@ -284,42 +285,44 @@ def near_copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         open_ = rest.where(F.col("_n") > CROWD).select("h", F.lit(True).alias("open")).distinct()
         # facts are joined to lines, not to the keys that are made of them
         again = texts.select("h", "line").join(inside, "h").join(facts, "h").join(open_, "h", "left")
-        again = materialise(spread_keys(again), "line-spread")
-        pairs = small.union(earlier_pairs(again.where("open"), again, F.lit(True)))
-    return found.unionByName(verified(pairs.distinct(), texts)).distinct()
+        again = materialise(spread_keys(again, edits), "line-spread")
+        pairs = small.union(earlier_pairs(again.where("open"), again, F.lit(True), edits))
+    return found.unionByName(verified(pairs.distinct(), texts, edits)).distinct()
 
 
-def earlier_pairs(rest: DataFrame, members: DataFrame, also: Column) -> DataFrame:
+def earlier_pairs(rest: DataFrame, members: DataFrame, also: Column, edits: int) -> DataFrame:
     """(h, other): lines of ``rest`` with all earlier members of their buckets
     that one of the two owns and that their character counts allow."""
     counts = [f"_c{i}" for i in range(len(GROUPS))]
     other = members.select(F.col("key").alias("_key"), F.col("h").alias("other"), F.col("first").alias("_f"), F.col("own").alias("_own"), *(F.col(c).alias(f"_x{c}") for c in counts))
     earlier = (F.col("key") == F.col("_key")) & (F.col("_f") < F.col("first")) & (F.col("own") | F.col("_own"))
-    return rest.join(other, earlier & also & alike("", "_x")).select("h", "other").distinct()
+    return rest.join(other, earlier & also & alike("", "_x", edits)).select("h", "other").distinct()
 
 
-def decisions(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
+def decisions(docs: DataFrame, exact_from: int, near_from: int, edits: int = EDITS) -> DataFrame:
     """_d, _t, pos, exact of every line that goes: ``exact`` if an equal line
     came earlier, else a near one did.  Equal lines have ``exact_from`` code
-    points at least, near ones ``near_from`` (not less than EDITS + 1)."""
+    points at least, near ones ``near_from`` (not less than edits + 1)."""
+    if near_from <= edits:
+        raise ValueError("lines of near_from code points have a segment for each edit and one more")
     lines = lines_of(docs, exact_from)
     # equality is decided on 128 bits of hash
     known = materialise(lines.select("h", second_hash("line").alias("g"), *ROW, "pos"), "line-places")
     place = F.struct(*ROW, "pos")
     firsts = materialise(known.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("_last")), "line-firsts")
-    near = materialise(near_copies(lines.where(F.char_length("line") >= near_from).select("h", "line"), firsts), "line-near")
+    near = materialise(near_copies(lines.where(F.char_length("line") >= near_from).select("h", "line"), firsts, edits), "line-near")
     repeated = materialise(firsts.where("first <> _last").select("h", "g", "first"), "line-repeated")
     exact = likely(known, repeated, "h").join(repeated, ["h", "g"]).where(place > F.col("first")).select(*ROW, "pos", F.lit(True).alias("exact"))
     fresh = likely(firsts, near, "h").join(near, ["h", "g"]).select("first.*", F.lit(False).alias("exact"))
     return exact.unionByName(fresh)
 
 
-def marked(docs: DataFrame, exact_from: int, near_from: int) -> DataFrame:
+def marked(docs: DataFrame, exact_from: int, near_from: int, edits: int = EDITS) -> DataFrame:
     """_row (all columns of ``docs``), _text, _exact, _near: positions of the
     lines that go."""
     with scope(docs.sparkSession) as keep:
         at = lambda exact: F.sort_array(F.collect_set(F.when(F.col("exact") == exact, F.col("pos"))))
-        per = decisions(docs.select("doc_id", "text"), exact_from, near_from).groupBy(*ROW).agg(at(True).alias("_exact"), at(False).alias("_near"))
+        per = decisions(docs.select("doc_id", "text"), exact_from, near_from, edits).groupBy(*ROW).agg(at(True).alias("_exact"), at(False).alias("_near"))
         per = keep(per, "line-drops")
     empty = F.array().cast("array<int>")
     held = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
@@ -341,16 +344,18 @@ def cleaned_text() -> Column:
     return F.when(F.size("_exact") + F.size("_near") > 0, F.array_join(kept, "\n")).otherwise(F.col("_text"))
 
 
-def dedup_lines(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """``docs`` with repeated lines taken out; rows that lose lines and have
-    no word left go, all other rows stay.
+    no word left go, all other rows stay.  ``edits`` may be up to 30 (the band
+    is one machine word), but keys a line grow with about its cube, those of
+    crowded lines with its fourth power.
 
     The first line by doc_id (null first), then text hash and place, stays;
     rows equal in doc_id and text are one row to the comparison and keep the
     same lines.  Null and empty texts stay as they are; texts and lines may be
     of any length.  Other columns stay as they are, whatever their names, but
     ``n_chars``, which is counted again."""
-    done = let(marked(docs, exact_from, near_from), _clean=cleaned_text())
+    done = let(marked(docs, exact_from, near_from, edits), _clean=cleaned_text())
     lost = F.size("_exact") + F.size("_near") > 0
     blank = F.trim(F.col("_clean"), F.lit(TRIM)) == ""
     out = done.where(~(lost & F.coalesce(blank, F.lit(True))))
@@ -365,10 +370,10 @@ def dedup_lines(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = M
     return out.select(*columns)
 
 
-def report(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, exact_from: int = MIN_CHARS, near_from: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_chars_kept, kept_sha256 of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done = marked(docs, exact_from, near_from)
+    done = marked(docs, exact_from, near_from, edits)
     text = F.coalesce(cleaned_text(), F.lit(""))
     return done.select(
         "_row.doc_id", F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), F.size("_exact").cast("bigint").alias("n_exact"), F.size("_near").cast("bigint").alias("n_near"),
