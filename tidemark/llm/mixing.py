@@ -150,22 +150,19 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 0, keep: list[st
         sized = sized.select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
         tokens = materialise(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "mix-blocks")
         chosen = materialise(plan(tokens, target, seed), "mix-plan")
-        # one row a block: its epochs and ranks.  At most BLOCKS rows a source.
-        per_block = chosen.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "rank"))).alias("_e"), F.max("weight").alias("weight"))
         idle = tokens.groupBy("source").agg(F.sum("n_tokens").alias("_t")).where("_t = 0").select("source")
-        once = F.array(F.struct(F.lit(0).cast("bigint").alias("epoch"), F.lit(0).alias("rank")))
-        free = tokens.join(idle, "source").select("source", "block", once.alias("_e"), F.lit(0.0).alias("weight"))
-        table = out(per_block.unionByName(free), "mix-table")
+        once = tokens.join(idle, "source").select("source", "block", F.lit(0).cast("bigint").alias("epoch"), F.lit(0).alias("rank"), F.lit(0.0).alias("weight"))
+        # a row an epoch of a block: a tiny source with many epochs is many rows, in no one's memory
+        table = out(chosen.unionByName(once), "mix-table")
     keep = keep if keep is not None else docs.columns
     own = fresh_names(docs, "source", "block", "tokens")
     carried = with_block(docs, own, seed).select(*(F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(keep)), *(F.col(c).alias(n) for c, n in zip(own, ("_source", "_block", "_tokens"), strict=True)))
-    table = table.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_e", F.col("weight").alias("_weight"))
-    joined = carried.join(table, ["_source", "_block"])
-    rows = joined.select(*(f"_c{i}" for i in range(len(keep))), "_tokens", "_weight", F.explode("_e").alias("_x"))
+    table = table.select(*(F.col(c).alias(f"_{c}") for c in ("source", "block", "epoch", "rank", "weight")))
+    rows = carried.join(table, ["_source", "_block"])
     kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)]
     if not facts:
         return rows.select(*kept)
-    facts_of = {"mix_tokens": F.col("_tokens"), "epoch": F.col("_x.epoch"), "rank": F.col("_x.rank"), "weight": F.col("_weight")}
+    facts_of = {"mix_tokens": F.col("_tokens"), "epoch": F.col("_epoch"), "rank": F.col("_rank"), "weight": F.col("_weight")}
     held = docs.select(*map(quoted, keep))
     return rows.select(*kept, *(c.alias(free_name(held, n)) for n, c in facts_of.items()))
 
