@@ -56,21 +56,28 @@ def _sized(keys: DataFrame, rate: float) -> DataFrame:
     return n.withColumn("k_probes", bloom_probes(F.col("n_keys"), F.col("m_bits")))
 
 
-def _probes(keys: DataFrame, sized: DataFrame) -> DataFrame:
-    """run_seq, key, m_bits, k_probes, bucket, bit of every probe: bits lie in
-    buckets of Spark's bitmap functions, which count from 1.  A generator of
-    one row holds the hashes, so that each key is hashed once."""
-    hashed = keys.select("run_seq", "key", F.inline(F.array(fnv_pair(F.col("key").cast("binary")))))
+def bloom_hashes(keys: DataFrame) -> DataFrame:
+    """run_seq, key and both hashes; what has them already stays as it is.  A
+    generator of one row holds them, so that each key is hashed once."""
+    if "h1" in keys.columns:
+        return keys
+    return keys.select("run_seq", "key", F.inline(F.array(fnv_pair(F.col("key").cast("binary")))))
+
+
+def _places(keys: DataFrame, sized: DataFrame) -> DataFrame:
+    """run_seq, key, m_bits, k_probes, at: the probed bits of every key."""
     at = bloom_positions(F.col("h1"), F.col("h2"), F.col("m_bits"), F.col("k_probes"))
-    each = hashed.join(sized.drop("n_keys"), "run_seq").select("run_seq", "key", "m_bits", "k_probes", F.explode(at).alias("pos"))
-    return each.select("run_seq", "key", "m_bits", "k_probes", F.bitmap_bucket_number(F.col("pos") + 1).alias("bucket"), F.bitmap_bit_position(F.col("pos") + 1).alias("bit"))
+    return bloom_hashes(keys).join(sized.select("run_seq", "m_bits", "k_probes"), "run_seq").select("run_seq", "key", "m_bits", "k_probes", at.alias("at"))
 
 
 def bloom_build(keys: DataFrame, rate: float = 0.01) -> DataFrame:
     """run_seq, m_bits, k_probes, bucket, bits: the filters of runs with
     distinct (run_seq, key), as bitmaps of 4096 bytes.  Bits are set in
     partial aggregates, so a task sends one bitmap a bucket."""
-    return _probes(keys, _sized(keys, rate)).groupBy("run_seq", "m_bits", "k_probes", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    each = _places(keys, _sized(keys, rate)).select("run_seq", "m_bits", "k_probes", F.explode("at").alias("p"))
+    # Spark's bitmap functions count from 1
+    bucket, bit = F.bitmap_bucket_number(F.col("p") + 1), F.bitmap_bit_position(F.col("p") + 1)
+    return each.groupBy("run_seq", "m_bits", "k_probes", bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
 
 
 def bloom_encode(filters: DataFrame) -> DataFrame:
@@ -96,10 +103,16 @@ def bloom_probe(filters: DataFrame, wanted: DataFrame) -> DataFrame:
     """run_seq, key, maybe of distinct wanted (run_seq, key): whether all
     probed bits of the run's filter are set."""
     sized = filters.select("run_seq", "m_bits", "k_probes").distinct()
-    probes = _probes(wanted, sized).select("run_seq", "key", "bucket", "bit")
-    octet = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(octet, (F.col("bit") % 8).cast("int")) == 1
-    found = probes.join(filters.select("run_seq", "bucket", "bits"), ["run_seq", "bucket"], "left")
+    bucket = lambda p: F.floor(p / 32768) + 1
+    places = _places(wanted, sized).select("run_seq", "key", "at", F.explode(F.array_distinct(F.transform("at", bucket))).alias("bucket"))
+
+    def is_set(p: Column) -> Column:
+        # ISO-8859-1 has one code point a byte
+        octet = F.substring("bits", (F.floor(p % 32768 / 8) + 1).cast("int"), F.lit(1))
+        return F.getbit(F.ascii(F.decode(octet, "ISO-8859-1")), (p % 8).cast("int")) == 1
+
+    found = places.join(filters.select("run_seq", "bucket", "bits"), ["run_seq", "bucket"], "left")
+    hit = F.forall("at", lambda p: (bucket(p) != F.col("bucket")) | is_set(p))
     return found.groupBy("run_seq", "key").agg(F.min(F.coalesce(hit, F.lit(False))).alias("maybe"))
 
 

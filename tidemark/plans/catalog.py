@@ -190,7 +190,7 @@ BITS = f"""{SIZING}, hashed AS (SELECT run_seq, key, {_fnv_sql('(xor(h, b) * 167
 def bloom_membership(spark, d):
     """Set bits per run, and how many of the run's own keys probe as present (all)."""
     with scope(spark) as keep:
-        own = materialise(state.flush_runs(a.events_log(spark, d)).select("run_seq", "key"), "run-keys")
+        own = materialise(storage.bloom_hashes(state.flush_runs(a.events_log(spark, d)).select("run_seq", "key")), "run-keys")
         filters = materialise(storage.bloom_build(own), "filters")
         bits = filters.groupBy("run_seq").agg(F.sum(F.bitmap_count("bits")).alias("n_bits"))
         maybe = storage.bloom_probe(filters, own).groupBy("run_seq").agg(F.sum(F.col("maybe").cast("bigint")).alias("n_maybe"))
