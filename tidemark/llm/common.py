@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,10 +29,24 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches."""
+    """``mapInArrow`` over small batches; a task's free memory goes back to
+    the system, for its worker waits for the next one."""
     small_batches(df.sparkSession)
     ship_package(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Hand memory that Arrow and the C library hold but do not use back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def quoted(name: str) -> str:

@@ -110,9 +110,11 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
 
 
 def _measure(batches):
-    """Column ``text`` goes, the measurements come behind the other columns."""
+    """Column ``text`` goes, the measurements come behind the other columns;
+    without that column the texts are those in ``_row``."""
     for batch in batches:
-        rows = np.array([measure(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("_row").field("text")
+        rows = np.array([measure(t) for t in texts.to_pylist()], np.int64).reshape(-1, len(MEASURES))
         held = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], [*held, *MEASURES])
 
@@ -165,7 +167,10 @@ def filter_rejected(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     Row, measurements and bits stay together, so nothing is joined or
     shuffled; the rules are those of the ledger.  Nulls, empty and long texts
     and repeated rows as in ``ledger``; columns may have any names."""
-    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
+    row = F.struct(*map(quoted, docs.columns)).alias("_row")
+    # a text that is a string already goes to Python once, within its row
+    own = [] if dict(docs.dtypes).get("text") == "string" else [F.col("text").cast("string").alias("text")]
+    held = docs.select(row, *own)
     schema = StructType([held.schema["_row"], *(StructField(m, LongType()) for m in MEASURES)])
     kept = map_arrow(held, _measure, schema).where(failure_bits().bitwiseAND(F.lit(POLICIES[version])) == 0)
     return kept.select("_row.*")
