@@ -235,6 +235,30 @@ def test_runs_through_spark(spark, tmp_path):
     assert sorted(bytes(r.key) for r in back.where(F.col("file") == files[4].file).collect()) == [k for k, _, _ in ENTRIES[4:]]
 
 
+def test_many_small_runs_are_few_tasks(spark, tmp_path):
+    """Files are read by size, not one task each, and the run's number is in the name."""
+    rows = [(r, bytearray(b"%d-%d" % (r, i)), 0, bytearray(b"v")) for r in range(-1, 59) for i in range(20)]
+    made = runs.write_runs(spark.createDataFrame(rows, "run_seq bigint, key binary, kind tinyint, value binary"), str(tmp_path / "runs"))
+    back = runs.read_runs(spark, [r.file for r in made.collect()])
+    assert back.rdd.getNumPartitions() < 10
+    got = [(r.run_seq, bytes(r.key)) for r in back.select(runs.run_number(F.col("file")).alias("run_seq"), "key").collect()]
+    assert sorted(got) == sorted((r, bytes(k)) for r, k, _, _ in rows)
+
+
+def test_entries_added_together():
+    entries = [(b"", 0, b""), *ENTRIES, (b"l" * 300, 255, b"x" * 70), ("mé".encode(), 1, b"")]
+    out = io.BytesIO()
+    writer = runs.RunWriter(out, 959, 7)
+    for low, high in ((0, 1), (1, 20), (20, 20), (20, len(entries))):
+        writer.add_all(*(list(c) for c in zip(*entries[low:high], strict=True)) if low < high else ([], [], []))
+    writer.close()
+    assert out.getvalue() == run_bytes(entries)
+    h1, h2 = runs.hash_all([k for k, _, _ in entries])
+    assert list(zip(h1.tolist(), h2.tolist(), strict=True)) == [runs.key_hashes(k) for k, _, _ in entries]
+    with pytest.raises(ValueError, match="ascend"):
+        runs.RunWriter(io.BytesIO(), 10, 1).add_all([b"b", b"b"], [0, 0], [b"", b""])
+
+
 def test_all_deleted_compacts_to_an_empty_run(spark, tmp_path):
     t = VersionedTable(spark, f"file://{tmp_path}/t")
     t.write([(0, b"a", b"1"), (1, b"a", b"")])

@@ -670,8 +670,8 @@ def run_files(spark, d):
     flushed = state.flush_runs(a.events_log(spark, d)).select("run_seq", F.col("key").cast("binary").alias("key"), "kind", F.col("seq").cast("string").cast("binary").alias("value"))
     with scope(spark) as keep:
         made = files.write_runs(flushed, folder)
-        back = files.read_runs(spark, [r.file for r in made.select("file").collect()]).join(made, "file")
-        out = keep(back.select("run_seq", F.col("key").cast("string").alias("key"), F.col("kind").cast("int").alias("kind"), F.col("value").cast("string").cast("bigint").alias("seq")), "run-files-read")
+        back = files.read_runs(spark, [r.file for r in made.select("file").collect()])
+        out = keep(back.select(files.run_number(F.col("file")).alias("run_seq"), F.col("key").cast("string").alias("key"), F.col("kind").cast("int").alias("kind"), F.col("value").cast("string").cast("bigint").alias("seq")), "run-files-read")
         remove(spark, folder)
     return out
 

@@ -11,25 +11,34 @@ a whole run.
 from __future__ import annotations
 
 import bisect
+import itertools
+import operator
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.functions.hashing import FNV_OFFSET, FNV_PRIME, MASK32, bloom_bits, bloom_probes, fnv_pair
+from tidemark.functions.hashing import FNV_OFFSET, FNV_PRIME, MASK32, bloom_bits, bloom_probes
 from tidemark.session import ship_package
 
 # Fixed values of the format.
 MAGIC = 0x5153535442303031
 INDEX_EVERY = 16
 FOOTER = 40
+U32, KIND_U32 = struct.Struct("<I").pack, struct.Struct("<BI").pack
 
 SCHEMA = "file string, key binary, kind tinyint, value binary"
 READ = 1 << 20
+#: A task reads files of so many bytes together, one file at least.
+TASK_BYTES = 4 << 20
+#: Rows and bytes of entries that go on together from a reader.
+BATCH_ROWS = 4096
+#: Longer keys are hashed one by one.
+LONG_KEY = 256
 
 
 class CorruptRun(ValueError):
@@ -47,6 +56,23 @@ def key_hashes(key: bytes) -> tuple[int, int]:
     return h1, h2
 
 
+def hash_all(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``key_hashes`` of all keys, one step for the bytes at one place."""
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    data, starts = np.frombuffer(b"".join(keys), np.uint8), np.cumsum(lengths) - lengths
+    h1, h2 = np.full(len(keys), FNV_OFFSET, np.uint64), np.full(len(keys), FNV_OFFSET, np.uint64)
+    prime, mask = np.uint64(FNV_PRIME), np.uint64(MASK32)
+    at, place = np.flatnonzero((lengths > 0) & (lengths <= LONG_KEY)), 0
+    while len(at):
+        b = data[starts[at] + place].astype(np.uint64)
+        h1[at], h2[at] = (h1[at] ^ b) * prime & mask, h2[at] * prime & mask ^ b
+        place += 1
+        at = at[lengths[at] > place]
+    for i in np.flatnonzero(lengths > LONG_KEY):
+        h1[i], h2[i] = key_hashes(keys[i])
+    return h1, h2
+
+
 class RunWriter:
     """Entries in key order to an open file; ``bits`` and ``probes`` size the
     filter beforehand, so keys are not kept."""
@@ -57,17 +83,27 @@ class RunWriter:
         self.index: list[tuple[bytes, int]] = []
         self.n, self.at, self.last = 0, 0, None
 
-    def add(self, key: bytes, kind: int, value: bytes, hashes: tuple[int, int] | None = None) -> None:
-        if self.last is not None and key <= self.last:
+    def add(self, key: bytes, kind: int, value: bytes) -> None:
+        self.add_all([key], [kind], [value])
+
+    def add_all(self, keys: list[bytes], kinds: list[int], values: list[bytes]) -> None:
+        """Many entries at once: one write, and filter bits set together."""
+        if not keys:
+            return
+        if (self.last is not None and keys[0] <= self.last) or any(map(operator.ge, keys, keys[1:])):
             raise ValueError("keys of a run ascend")
-        h1, h2 = hashes or key_hashes(key)
+        h1, h2 = hash_all(keys)
         for i in range(self.k):
-            pos = (h1 + i * h2 & MASK32) % self.m
-            self.filter[pos >> 3] |= 1 << (pos & 7)
-        if self.n % INDEX_EVERY == 0:
-            self.index.append((key, self.at))
-        self.at += self.out.write(struct.pack("<I", len(key)) + key + struct.pack("<BI", kind & 255, len(value)) + value)
-        self.n, self.last = self.n + 1, key
+            pos = (h1 + np.uint64(i) * h2 & np.uint64(MASK32)) % np.uint64(self.m)
+            np.bitwise_or.at(self.filter, (pos >> np.uint64(3)).astype(np.int64), np.uint8(1) << (pos & np.uint64(7)).astype(np.uint8))
+        parts, at = [], self.at
+        for n, (key, kind, value) in enumerate(zip(keys, kinds, values, strict=True), self.n):
+            if n % INDEX_EVERY == 0:
+                self.index.append((key, at))
+            parts += (U32(len(key)), key, KIND_U32(kind & 255, len(value)), value)
+            at += 9 + len(key) + len(value)
+        self.out.write(b"".join(parts))
+        self.n, self.at, self.last = self.n + len(keys), at, keys[-1]
 
     def close(self) -> None:
         block = struct.pack("<II", self.k, self.m) + self.filter.tobytes()
@@ -163,15 +199,15 @@ def write_runs(runs: DataFrame, folder: str) -> DataFrame:
     """One file per run of (run_seq, key, kind, value) with distinct keys;
     returns run_seq, file, n_keys.  A run is one file and so one task's work
     (runs are cut by the flush threshold); its entries go through in batches,
-    sorted by Spark, which spills."""
+    sorted and counted by Spark, which spills.  ``runs`` is computed once."""
     from tidemark.session import materialise
 
     ship_package(runs.sparkSession)
-    n = runs.groupBy("run_seq").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("run_seq", bloom_bits(F.col("n")).alias("m"), bloom_probes(F.col("n"), bloom_bits(F.col("n"))).alias("k"))
     value = F.coalesce(F.col("value").cast("binary"), F.lit(b""))
-    hashed = runs.select("run_seq", F.col("key").cast("binary").alias("key"), F.col("kind").cast("int").alias("kind"), value.alias("value"), F.inline(F.array(fnv_pair(F.col("key").cast("binary")))))
-    placed = hashed.join(n, "run_seq").repartition("run_seq").sortWithinPartitions("run_seq", "key")
+    entries = runs.where("run_seq is not null").select("run_seq", F.col("key").cast("binary").alias("key"), F.col("kind").cast("int").alias("kind"), value.alias("value"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("run_seq"))
+    counted = entries.repartition("run_seq").withColumn("n", n)
+    placed = counted.select("run_seq", "key", "kind", "value", bloom_bits(F.col("n")).alias("m"), bloom_probes(F.col("n"), bloom_bits(F.col("n"))).alias("k")).sortWithinPartitions("run_seq", "key")
 
     def write(batches):
         import uuid
@@ -189,23 +225,34 @@ def write_runs(runs: DataFrame, folder: str) -> DataFrame:
 
         number = None
         for batch in batches:
-            for r, key, kind, v, h1, h2, m, k in zip(*(batch.column(c).to_pylist() for c in ("run_seq", "key", "kind", "value", "h1", "h2", "m", "k")), strict=True):
-                if r != number:
+            each = batch.column("run_seq").to_numpy()
+            keys, kinds, values = (batch.column(c).to_pylist() for c in ("key", "kind", "value"))
+            bounds = [0, *(np.flatnonzero(each[1:] != each[:-1]) + 1), len(each)]
+            for low, high in itertools.pairwise(bounds):
+                if low == high:
+                    continue
+                if each[low] != number:
                     if run is not None:
                         yield done()
-                    number, path = r, f"{base}/run-{r:010d}-{uuid.uuid4().hex}.run"
+                    number = int(each[low])
+                    path = f"{base}/run-{number:010d}-{uuid.uuid4().hex}.run"
                     out = store.open_output_stream(path)
-                    run = RunWriter(out, m, k)
-                run.add(key, kind, v, (h1, h2))
+                    run = RunWriter(out, batch.column("m")[low].as_py(), batch.column("k")[low].as_py())
+                run.add_all(keys[low:high], kinds[low:high], values[low:high])
         if run is not None:
             yield done()
 
     return materialise(placed.mapInArrow(write, "run_seq bigint, file string, n_keys bigint"), "run-files")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def run_number(file: Column) -> Column:
+    """The run_seq that ``write_runs`` has put into a file's name."""
+    return F.regexp_extract(file, r"run-(-?\d+)-[0-9a-f]+\.run$", 1).cast("bigint")
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class RunSource(DataSourceReader):
@@ -213,19 +260,42 @@ class RunSource(DataSourceReader):
         self.paths = [p for p in options.get("path", "").split(",") if p]
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        """Consecutive files of TASK_BYTES together, for runs can be many and small."""
+        parts, total = [], 0
+        for p in self.paths:
+            store, path = opened(p)
+            size = store.get_file_info(path).size or 0
+            if not parts or total + size > TASK_BYTES:
+                parts.append([])
+                total = 0
+            parts[-1].append(p)
+            total += size
+        return [_Files(x) for x in parts]
 
     def read(self, partition):
-        store, path = opened(partition.path)
-        size = store.get_file_info(path).size
-        with store.open_input_file(path) as f:
-            for key, kind, value in RunReader(f, size).scan():
-                yield (partition.path, key, signed(kind), value)
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("key", pa.binary()), ("kind", pa.int8()), ("value", pa.binary())])
+        for name in partition.paths:
+            store, path = opened(name)
+            size = store.get_file_info(path).size
+            with store.open_input_file(path) as f:
+                rows, held = [], 0
+                batch = lambda rows, name=name: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([name] * len(rows), *zip(*rows, strict=True)), schema.types, strict=True)], schema=schema)
+                for key, kind, value in RunReader(f, size).scan():
+                    rows.append((key, signed(kind), value))
+                    held += len(key) + len(value)
+                    if len(rows) >= BATCH_ROWS or held >= READ:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
 
 
 class RunDataSource(DataSource):
     """``spark.dataSource.register(RunDataSource)``; then
-    ``spark.read.format("kvrun").load("a.run,b.run")``: one task a file."""
+    ``spark.read.format("kvrun").load("a.run,b.run")``: a task reads whole
+    files, small ones together."""
 
     @classmethod
     def name(cls):
@@ -239,7 +309,7 @@ class RunDataSource(DataSource):
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, key, kind, value of run files, one task each."""
+    """file, key, kind, value of run files; a task reads whole files."""
     spark.dataSource.register(RunDataSource)
     ship_package(spark)
     return spark.read.format("kvrun").load(",".join(paths))
